@@ -120,7 +120,7 @@ def _(v):
       CASE WHEN c>=.9 THEN 'excellent' WHEN c>=.8 THEN 'good' WHEN c>=.6 THEN 'adequate'
         WHEN c>=.4 THEN 'poor' ELSE 'very_poor' END AS adequacy_level,
       round(greatest(0, chao1-richness),6) AS missing_species, c<.8 AS additional_sampling_needed,
-      array_to_string(list_filter([
+      coalesce(array_to_string(list_filter([
         CASE WHEN c<.8 THEN 'Collect approximately ' || trunc((0.8::DOUBLE-c)*richness*2)::INT
           || ' additional samples' END,
         CASE WHEN c<.6 THEN 'Increase sampling effort significantly' END,
@@ -129,7 +129,7 @@ def _(v):
         CASE WHEN c<.4 THEN 'Current sampling is insufficient for reliable diversity estimates' END,
         CASE WHEN c<.4 THEN 'Consider systematic sampling design' END,
         CASE WHEN c<.4 THEN 'Increase sampling intensity by 3-5x' END],
-        lambda x: x IS NOT NULL), '; ') AS recommendations FROM d""",
+        lambda x: x IS NOT NULL), '; '), '') AS recommendations FROM d""",
     "abundance",
 )
 def _(v):
