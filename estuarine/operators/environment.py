@@ -90,7 +90,10 @@ def environment_profile(env: DataFrame, key: str, shannon: str = "shannon") -> D
     stresses = thermal.cast("int") + chemical.cast("int") + osmotic.cast("int")
     measured = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in PARAMETERS])
     parts = F.array_compact(
-        F.array(F.least(h / 4.0, F.lit(1.0)), F.greatest(F.lit(0.0), 1 - F.abs(p - 8.0) / 6.0))
+        F.array(
+            F.when(h.isNotNull(), F.least(h / 4.0, F.lit(1.0))),
+            F.when(p.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(p - 8.0) / 6.0)),
+        )
     )
     health = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).otherwise(0.5)
     osmotic_level = first_match([((s < 0.5) | (s > 40), "high"), ((s < 5) | (s > 35), "moderate")], "low")

@@ -70,7 +70,7 @@ def band_sql(col, bands, top):
         WHEN (temperature IS NOT NULL)::INT+(depth IS NOT NULL)::INT+(ph IS NOT NULL)::INT+(salinity IS NOT NULL)::INT>=2 THEN 'moderate' ELSE 'low' END AS habitat_complexity,
       th AS thermal_stress, ch AS chemical_stress, os AS osmotic_stress,
       CASE WHEN th::INT+ch::INT+os::INT>=2 THEN 'high' WHEN th::INT+ch::INT+os::INT=1 THEN 'moderate' ELSE 'low' END AS overall_stress_level,
-      round(coalesce(list_avg(list_filter([least(h/4,1), CASE WHEN ph IS NOT NULL THEN greatest(0,1-abs(ph-8)/6) END], lambda x: x IS NOT NULL)),.5),6) AS ecosystem_health,
+      round(coalesce(list_avg(list_filter([CASE WHEN h IS NOT NULL THEN least(h/4,1) END, CASE WHEN ph IS NOT NULL THEN greatest(0,1-abs(ph-8)/6) END], lambda x: x IS NOT NULL)),.5),6) AS ecosystem_health,
       CASE WHEN cd IS NULL THEN 'unknown' ELSE CASE coalesce(month(try_cast(cd AS DATE)),6) WHEN 12 THEN 'winter' WHEN 1 THEN 'winter' WHEN 2 THEN 'winter'
         WHEN 3 THEN 'spring' WHEN 4 THEN 'spring' WHEN 5 THEN 'spring' WHEN 6 THEN 'summer' WHEN 7 THEN 'summer' WHEN 8 THEN 'summer' ELSE 'autumn' END END AS sampling_season,
       coalesce(array_to_string([CASE WHEN temperature>30 THEN 'thermal_pollution' END, CASE WHEN ph>7.5 AND depth>100 THEN 'deep_alkaline_conditions' END,
