@@ -41,12 +41,13 @@ def pseudo_phred(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int, clean: bool = True) -> Column:
-    """All k-long windows at stride 1, optionally without those holding N or X."""
-    windows = F.when(
-        F.length(seq) >= k,
-        F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: seq.substr(i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.filter(windows, lambda w: ~w.rlike("[NX]")) if clean else windows
+    """All k-long windows at stride 1, optionally without those holding N or X.
+
+    An empty match with a look-ahead group yields the overlapping windows in one pass;
+    substrings at growing offsets would cost the square of the length.
+    """
+    letter = "[^NX]" if clean else "(?s:.)"
+    return F.regexp_extract_all(seq, F.lit(f"(?=({letter}{{{k}}}))"), F.lit(1))
 
 
 def chunk_spans(length: Column, size: int, overlap: int) -> Column:

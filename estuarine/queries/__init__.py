@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from estuarine.plans.views import Views, with_views
 
 AREAS = (
-    "diversity reads sources store similarity lineage vectors clustering identity environment timing"
+    "diversity reads sources store similarity lineage vectors clustering assignment identity environment timing"
 ).split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
