@@ -10,7 +10,10 @@ from estuarine.functions.mathx import first_match, ratio
 
 def letter_count(seq: Column, letters: str) -> Column:
     """How many characters of `seq` are among `letters` (case sensitive)."""
-    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+    rest = seq
+    for letter in letters:
+        rest = F.replace(rest, F.lit(letter), F.lit(""))
+    return F.length(seq) - F.length(rest)
 
 
 def gc_content(seq: Column) -> Column:

@@ -17,7 +17,6 @@ from estuarine.functions.mathx import (
     first_match,
     fisher_alpha,
     lgamma,
-    log_choose,
     ratio,
     xlogx,
 )
@@ -139,11 +138,16 @@ def rarefaction(abund: DataFrame, by: str = "sample_id", points: int = 50) -> Da
             F.floor(F.lit(1.0) + i * step).cast("long")
         ),
     )
-    grid = totals.select(by, "s", "total", F.posexplode(sizes).alias("point", "sample_size"))
     n, m, total = F.col("n"), F.col("sample_size"), F.col("total")
-    missing = F.coalesce(F.exp(log_choose(total - n, m) - log_choose(total, m)), F.lit(0.0))
+    # C(N-n, m) / C(N, m) by three log-gamma terms, of which two are known before the join
+    grid = totals.select(by, "s", "total", F.posexplode(sizes).alias("point", "sample_size")).withColumn(
+        "of_size", lgamma(total - m + 1) - lgamma(total + 1)
+    )
+    rows = spec.join(totals.select(by, "total"), by).select(by, "n", "f", lgamma(total - n + 1).alias("of_count"))
+    log_missing = F.col("of_count") + F.col("of_size") - lgamma(total - n - m + 1)
+    missing = F.when(total - n >= m, F.exp(log_missing)).otherwise(0.0)
     return (
-        spec.join(grid, by)
+        rows.join(grid, by)
         .groupBy(by, "point", "sample_size", "s", "total")
         .agg(F.sum(F.col("f") * (1 - missing)).alias("e"))
         .select(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estuarine.functions.sequences import pseudo_phred
+from estuarine.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -31,7 +32,7 @@ class Views:
     @cached_property
     def reads(self) -> DataFrame:
         seq = F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", ""))
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             F.col("doc_id").alias("sequence_id"),
             F.col("source").alias("sample_id"),
             F.col("lang").alias("organism"),

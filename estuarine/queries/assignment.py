@@ -35,7 +35,7 @@ def _(v):
 
 
 def half_sql(name, expr):
-    return f"""{name}k AS (SELECT DISTINCT id, w FROM (SELECT id, substr(h, unnest(range(1, length(h)-4)), 6) AS w FROM (SELECT id, {expr} AS h FROM u) WHERE length(h)>=6) WHERE NOT contains(w,'N')),
+    return f"""{name}k AS (SELECT DISTINCT id, w FROM (SELECT id, substr(h, unnest(range(1, length(h)-6)), 8) AS w FROM (SELECT id, {expr} AS h FROM u) WHERE length(h)>=8) WHERE NOT contains(w,'N')),
       {name}n AS (SELECT id, count(*) AS n FROM {name}k GROUP BY 1),
       {name}p AS (SELECT k.id, p.id AS r, count(*)*1.0::DOUBLE/any_value(n) AS s, any_value(up.size) AS rs FROM {name}k k JOIN pk p USING (w) JOIN {name}n n ON n.id=k.id
         JOIN u uq ON uq.id=k.id JOIN u up ON up.id=p.id WHERE up.size>=2*uq.size GROUP BY 1,2),
@@ -44,15 +44,15 @@ def half_sql(name, expr):
 
 @query(
     "chimera_screen",
-    f"""WITH u AS (SELECT seq, min(sequence_id) AS id, count(*) AS size FROM reads WHERE length(seq)>=12 GROUP BY 1),
-      pk AS (SELECT DISTINCT id, w FROM (SELECT id, substr(seq, unnest(range(1, length(seq)-4)), 6) AS w FROM u) WHERE NOT contains(w,'N')),
+    f"""WITH u AS (SELECT seq, min(sequence_id) AS id, count(*) AS size FROM reads WHERE length(seq)>=16 GROUP BY 1),
+      pk AS (SELECT DISTINCT id, w FROM (SELECT id, substr(seq, unnest(range(1, length(seq)-6)), 8) AS w FROM u) WHERE NOT contains(w,'N')),
       {half_sql('l', "substr(seq,1,length(seq)//2)")}, {half_sql('r', "substr(seq,length(seq)//2+1)")}
     SELECT u.id AS sequence_id, size, lb.r AS left_parent, rb.r AS right_parent, coalesce(lb.r<>rb.r,false) AS is_chimera
     FROM u LEFT JOIN lb USING (id) LEFT JOIN rb USING (id)""",
     "reads",
 )
 def _(v):
-    return K.chimera_screen(v.reads, k=6, min_share=0.6)
+    return K.chimera_screen(v.reads, k=8, min_share=0.6)
 
 
 def taxa(v):

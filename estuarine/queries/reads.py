@@ -10,6 +10,7 @@ from estuarine.operators import reads as R
 from estuarine.plans.profile import profile_dataset
 from estuarine.queries import query
 from estuarine.queries.diversity import rounded
+from estuarine.session import spread
 
 # The driver's text-derived reads hold many N, so the limits are set wide.
 WIDE = {"max_len": 2000, "max_n": 250, "quality": 20.0}
@@ -197,7 +198,7 @@ def _(v):
       unique_characters, 'protein' AS sequence_type FROM k JOIN t USING (lang) WHERE r<=10""",
 )
 def _(v):
-    text = v.table("documents").select("lang", F.replace("text", F.lit("ß"), F.lit("s")).alias("seq"))
+    text = spread(v.table("documents")).select("lang", F.replace("text", F.lit("ß"), F.lit("s")).alias("seq"))
     return rounded(R.composition(text, "lang"), "share")
 
 

@@ -59,3 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on input that came as a few small files.
+
+    Input already split into at least as many partitions as there are cores, as any large
+    table is, passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

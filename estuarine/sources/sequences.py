@@ -22,7 +22,7 @@ EXTENSIONS = {
 def readable(value: Column) -> Column:
     """Text of a line, falling back to a single-byte charset where it is not valid UTF-8."""
     return F.when(F.is_valid_utf8(value), value).otherwise(
-        F.decode(value.cast("binary"), "windows-1252")
+        F.decode(value.cast("binary"), "iso-8859-1")
     )
 
 
