@@ -94,7 +94,21 @@ def _(v):
     return rounded(N.lof(known(v), v.vectors), "score")
 
 
-@query("centroid_novelty")
+@query(
+    "centroid_novelty",
+    f"""WITH RECURSIVE {DV}, nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM dv a JOIN dv b ON a.label<8 AND b.label<8 AND list_distance(a.e,b.e)<={EPS}),
+    core AS (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*)>={MIN_SAMPLES}),
+    link AS (SELECT a, b FROM nb WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach(id, o) AS (SELECT id, id FROM core UNION SELECT link.b, reach.o FROM reach JOIN link ON link.a=reach.id),
+    comp AS (SELECT id, min(o) AS c FROM reach GROUP BY 1),
+    edge AS (SELECT nb.a AS id, min(c) AS c FROM nb JOIN comp ON nb.b=comp.id WHERE nb.a NOT IN (FROM core) GROUP BY 1),
+    u AS (FROM comp UNION ALL FROM edge), x AS (SELECT c, unnest(e) AS x, generate_subscripts(e,1) AS i FROM u JOIN dv ON vec_id=id),
+    m AS (SELECT c, i, avg(x) AS x FROM x GROUP BY 1,2), ce AS (SELECT c, list(x ORDER BY i) AS v FROM m GROUP BY 1),
+    t AS (SELECT quantile_cont(list_distance(e,v),.95) AS t FROM u JOIN dv ON vec_id=id JOIN ce USING (c)),
+    d AS (SELECT vec_id, min(list_distance(e,v)) AS d FROM dv, ce GROUP BY 1)
+    SELECT vec_id, round(-d,6) AS score, CASE WHEN d>t THEN -1 ELSE 1 END AS label FROM d, t""",
+    "vectors",
+)
 def _(v):
     return rounded(N.centroid_novelty(known(v), v.vectors, EPS, MIN_SAMPLES), "score")
 

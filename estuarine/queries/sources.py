@@ -286,3 +286,16 @@ def _(v):
     return v.table("supplier").select(
         "s_suppkey", T.reference_url(db, F.col("s_suppkey").cast("string")).alias("url")
     )
+
+
+@query(
+    "file_hashes",
+    """SELECT n_name AS content, md5(n_name || chr(10)) AS md5, sha256(n_name || chr(10)) AS sha256, length(n_name)+1 AS size FROM nation""",
+)
+def _(v):
+    path = scratch(v, "texts")
+    names = v.table("nation").select("n_name", F.col("n_name").alias("value"))
+    names.write.partitionBy("n_name").text(path)
+    out = T.file_hashes(v.spark, path).filter(F.col("path").endswith(".txt"))
+    content = F.regexp_extract("path", r"n_name=([^/]+)/", 1)
+    return out.select(content.alias("content"), "md5", "sha256", F.col("length").alias("size"))
