@@ -11,6 +11,7 @@ from estuarine.functions.mathx import first_match
 from estuarine.operators.ordered import top_per_group
 from estuarine.operators.ranks import RANKS, present_ranks
 from estuarine.operators.similarity import RANK_WEIGHTS
+from estuarine.session import materialize
 
 # Matching thresholds.
 TAXONOMY_MIN, COMBINED_MIN, CROSS_REPORT_MIN, FUZZY_CREDIT = 0.8, 0.85, 0.8, 0.8
@@ -197,18 +198,18 @@ def match_organisms(members: DataFrame, pairs: DataFrame) -> DataFrame:
     multiply, so no organism pair is ever written out.
     """
     ranks = present_ranks(members)
-    tagged = [
-        pairs.select("report_id_1", "report_id_2", F.col(f"report_id_{i}").alias("report_id"))
-        .join(members, "report_id")
-        .select("report_id_1", "report_id_2", F.lit(i).alias("side"), "organism_id", "signature", *ranks)
+    pair = ["report_id_1", "report_id_2"]
+    sides = [
+        pairs.select(*pair, F.col(f"report_id_{i}").alias("report_id"))
+        .join(members.select("report_id", "organism_id"), "report_id")
+        .select(*pair, "organism_id", F.lit(i).alias("side"))
         for i in (1, 2)
     ]
-    pair = ["report_id_1", "report_id_2"]
-    both = tagged[0].unionByName(tagged[1]).groupBy(*pair, "organism_id").agg(
-        F.bit_or(F.col("side")).alias("sides"), F.max(F.struct("signature", *ranks)).alias("r")
-    )
-    flat = both.select(*pair, "organism_id", "sides", "r.*")
-    exact = flat.groupBy(*pair).agg(
+    both = sides[0].unionByName(sides[1]).groupBy(*pair, "organism_id")
+    found = materialize(both.agg(F.bit_or("side").alias("sides")))
+    traits = members.select("organism_id", "signature", *ranks).distinct()
+    flat = found.filter("sides <> 3").join(traits, "organism_id")
+    exact = found.groupBy(*pair).agg(
         F.count_if(F.col("sides") == 3).alias("exact_matches"),
         F.count_if(F.col("sides") == 1).alias("unique_to_1"),
         F.count_if(F.col("sides") == 2).alias("unique_to_2"),

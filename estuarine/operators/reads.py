@@ -408,24 +408,23 @@ def read_signature(reads: DataFrame, k: int = 6, top: int = 64, key: str = "sequ
     Ties keep the k-mer seen first. The counting runs per distinct sequence on rows
     (sequence, k-mer), combined before the shuffle.
     """
-    text = F.trim(F.upper("seq"))
-    distinct = reads.select(text.alias("__s")).distinct()
-    rows = distinct.select(
-        "__s", F.posexplode(kmers(F.col("__s"), k)).alias("pos", "kmer")
-    )
-    counted = rows.groupBy("__s", "kmer").agg(
+    named = reads.select(key, F.trim(F.upper("seq")).alias("__s"))
+    # equal sequences share one id; the k-mer rows carry that id, never the text
+    unique = named.groupBy("__s").agg(F.min(key).alias("__id"))
+    rows = unique.select("__id", F.posexplode(kmers(F.col("__s"), k)).alias("pos", "kmer"))
+    counted = rows.groupBy("__id", "kmer").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")
     )
-    best = top_per_group(counted, ["__s"], [F.desc("n"), F.asc("first")], top)
+    best = top_per_group(counted, ["__id"], [F.desc("n"), F.asc("first")], top)
     entry = F.concat(F.lit('"'), "kmer", F.lit('": '), F.col("n").cast("string"))
-    built = best.groupBy("__s").agg(
+    built = best.groupBy("__id").agg(
         F.array_sort(F.collect_list(F.struct("kmer", entry.alias("e")))).alias("__top")
     )
-    built = built.select("__s", F.array_join("__top.e", ", ").alias("__body"))
-    body = F.concat(F.lit("{"), F.coalesce("__body", F.lit("")), F.lit("}"))
-    return reads.select(key, text.alias("__s")).join(built, "__s", "left").select(
-        key, F.left(F.sha2(body, 256), F.lit(32)).alias("signature")
+    body = F.concat(F.lit("{"), F.coalesce(F.array_join("__top.e", ", "), F.lit("")), F.lit("}"))
+    signed = unique.join(built, "__id", "left").select(
+        "__s", F.left(F.sha2(body, 256), F.lit(32)).alias("signature")
     )
+    return named.join(signed, "__s").select(key, "signature")
 
 
 def encode_kmers(reads: DataFrame, k: int, max_len: int, key: str = "sequence_id") -> DataFrame:

@@ -49,16 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def store(df: DataFrame) -> str:
+    """Write `df` to the shared folder; returns the path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table written by `store` is still complete."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, keeps columnar pruning and
     freezes values such as row positions that a recomputation could change.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
 
 
 def spread(df: DataFrame) -> DataFrame:
