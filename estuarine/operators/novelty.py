@@ -14,7 +14,13 @@ from estuarine.functions.vectors import l2
 from estuarine.operators.blocks import matrix
 from estuarine.operators.clustering import dbscan
 from estuarine.operators.ordered import exact_quantiles, top_per_group
-from estuarine.operators.vectors import as_doubles, centroids, cluster_coherence, knn_join
+from estuarine.operators.vectors import (
+    TIE_DIGITS,
+    as_doubles,
+    centroids,
+    cluster_coherence,
+    knn_join,
+)
 from estuarine.session import materialize
 
 # Detector settings.
@@ -56,7 +62,9 @@ def centroid_novelty(
     labels = dbscan(ref, eps, min_samples)
     members = ref.join(labels, "vec_id").filter(F.col("cluster") != -1)
     centres = materialize(centroids(members))
-    inner = members.join(centres, "cluster").select(l2(F.col("embedding"), F.col("centroid")).alias("d"))
+    # rounded like the search results it is compared with
+    gap = F.round(l2(F.col("embedding"), F.col("centroid")), TIE_DIGITS)
+    inner = members.join(centres, "cluster").select(gap.alias("d"))
     cut = F.broadcast(_threshold(inner, "d", quantile))  # one row
     nearest = knn_join(
         query, centres.select(F.col("cluster").cast("long").alias("vec_id"), F.col("centroid").alias("embedding")), 1, "l2"

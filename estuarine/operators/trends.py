@@ -108,7 +108,7 @@ def organism_timeline(seqs: DataFrame, reports: DataFrame, datasets: DataFrame)
     per = seqs.groupBy("organism_id", "report_id").agg(
         F.max("created_at").alias("analysis_date"),
         F.count(F.lit(1)).alias("sequence_count"),
-        F.max_by(F.struct("confidence", "novelty_score", "is_novel_candidate"), F.col("sequence_id")).alias("r"),
+        F.max(F.struct("sequence_id", "confidence", "novelty_score", "is_novel_candidate")).alias("r"),
     )
     return (
         per.join(reports, "report_id")

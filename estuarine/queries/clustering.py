@@ -104,8 +104,8 @@ def _(v):
     edge AS (SELECT nb.a AS id, min(c) AS c FROM nb JOIN comp ON nb.b=comp.id WHERE nb.a NOT IN (FROM core) GROUP BY 1),
     u AS (FROM comp UNION ALL FROM edge), x AS (SELECT c, unnest(e) AS x, generate_subscripts(e,1) AS i FROM u JOIN dv ON vec_id=id),
     m AS (SELECT c, i, avg(x) AS x FROM x GROUP BY 1,2), ce AS (SELECT c, list(x ORDER BY i) AS v FROM m GROUP BY 1),
-    t AS (SELECT quantile_cont(list_distance(e,v),.95) AS t FROM u JOIN dv ON vec_id=id JOIN ce USING (c)),
-    d AS (SELECT vec_id, min(list_distance(e,v)) AS d FROM dv, ce GROUP BY 1)
+    t AS (SELECT quantile_cont(round(list_distance(e,v),9),.95) AS t FROM u JOIN dv ON vec_id=id JOIN ce USING (c)),
+    d AS (SELECT vec_id, min(round(list_distance(e,v),9)) AS d FROM dv, ce GROUP BY 1)
     SELECT vec_id, round(-d,6) AS score, CASE WHEN d>t THEN -1 ELSE 1 END AS label FROM d, t""",
     "vectors",
 )

@@ -451,8 +451,9 @@ def _(v):
 
 
 TIMELINE = """tl AS (SELECT organism_id, report_id, max(created_at) AS analysis_date, count(*) AS sequence_count,
-      max_by(confidence, sequence_id) AS confidence, max_by(novelty_score, sequence_id) AS novelty_score,
-      max_by(is_novel_candidate, sequence_id) AS is_novel_candidate, any_value(report_name) AS report_name,
+      max_by(confidence, struct_pack(s := sequence_id, c := confidence, n := novelty_score, i := is_novel_candidate)) AS confidence,
+      max_by(novelty_score, struct_pack(s := sequence_id, c := confidence, n := novelty_score, i := is_novel_candidate)) AS novelty_score,
+      max_by(is_novel_candidate, struct_pack(s := sequence_id, c := confidence, n := novelty_score, i := is_novel_candidate)) AS is_novel_candidate, any_value(report_name) AS report_name,
       any_value(dataset_name) AS dataset_name, any_value(depth_meters) AS depth_meters
     FROM assignments JOIN reports USING (report_id) JOIN datasets USING (dataset_id) GROUP BY 1, 2)"""
 
