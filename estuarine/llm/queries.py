@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estuarine.llm import htmltext, packing, sentencepieces, tokencounts
+from estuarine.llm import htmltext, neardup, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
 from estuarine.llm.common import tokenizer_path
 from estuarine.llm.registry import query
 
@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return qualityrules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -31,3 +37,13 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op9_minhash")
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array")
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedupe(table(spark, sf_dir, "documents"))
