@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from estuarine.llm import htmltext, neardup, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
+from estuarine.llm import htmltext, linededup, lm, neardup, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
 from estuarine.llm.common import tokenizer_path
 from estuarine.llm.registry import query
 
@@ -29,11 +30,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op4_language_model")
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = linededup.line_components(table(spark, sf_dir, "documents"))
+    return marks.select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("line_no"), F.col("name").alias("line_hash"), "component", "kept")
+
+
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))

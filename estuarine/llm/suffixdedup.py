@@ -234,7 +234,7 @@ def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
 
 def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`; with `with_text` also
-    the remaining text, in which a character cut in two is replaced.
+    the remaining text, without the halves of characters that were cut in two.
 
     Every byte covered by a string of `length` bytes that starts anywhere else as well, in this or
     another row, goes. Null text: 0 bytes. Texts shorter than `length` keep everything. Repeated
@@ -257,7 +257,7 @@ def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col:
                     at = b
                 left.append(text[at:])
                 rest = b"".join(left)
-                for to, v in zip(cols, (len(text), len(text) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode(errors="replace") if with_text else None), strict=True):
+                for to, v in zip(cols, (len(text), len(text) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if with_text else None), strict=True):
                     to.append(v)
             out = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out[: 4 + with_text]], names=[*batch.schema.names[:n], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: n + 4 + with_text])
