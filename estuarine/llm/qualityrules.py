@@ -8,6 +8,8 @@ log ratio of its n-grams, so its length doesn't matter, held against a fixed thr
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,25 +21,30 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once per row, wherever the optimiser moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pairs(h: Column) -> Column:
     """Hash of each word with the next one."""
-    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: F.xxhash64(x, y))
 
 
 def _grams(h: Column, buckets: int) -> Column:
     """Buckets of all words and word pairs."""
     n = F.lit(buckets).cast("long")
-    return F.transform(F.concat(h, _pairs(h)), lambda x: F.pmod(x, n).cast("int"))
+    return F.transform(let(h, lambda x: F.concat(x, _pairs(x))), lambda x: F.pmod(x, n).cast("int"))
 
 
-def _hashed(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """One array of word hashes per document."""
-    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), "")
-    return docs.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+def _hashes(text: Column) -> Column:
+    """Hashes of a text's words in order."""
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), ""), lambda w: F.xxhash64(w))
 
 
-def _counts(hashed: DataFrame, buckets: int, name: str) -> DataFrame:
-    return hashed.select(F.explode(_grams(F.col("__h"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+def _counts(texts: Column, docs: DataFrame, buckets: int, name: str) -> DataFrame:
+    return docs.select(F.explode(_grams(_hashes(texts), buckets)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float, id_col: str, text_col: str) -> list[float]:
@@ -49,16 +56,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float,
     """
     ids = trusted.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left_semi")
-    raw = _counts(_hashed(docs, text_col), buckets, "raw")
-    target = _counts(_hashed(chosen, "__text"), buckets, "target")
+    raw = _counts(F.col(text_col), docs, buckets, "raw")
+    target = _counts(F.col("__text"), chosen, buckets, "target")
     both = raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
     rows = both.collect()  # at most one row per bucket
     n_raw, n_target = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
     out = [0.0] * buckets
     if not n_target:
         return out
-    import math
-
     weight = prior * buckets
     for r in rows:
         p = (r["raw"] + 1) / (n_raw + buckets)
@@ -66,36 +71,30 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float,
     return out
 
 
-def base_rules(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """Counts of words, symbols, repeated lines and repeated word windows, all inside the row."""
-    h = F.col("__h")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = _hashed(docs, text_col, F.col(id_col), *map(F.col, keep), text.alias("__text"))
-    lines = F.filter(F.split("__text", "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    windows = F.transform(F.slice(h, 1, F.greatest(F.size(h) - WINDOW + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
-    rows = rows.select("*", lines.alias("__lines"), windows.alias("__w"))
-    # where no window repeats, nothing is sorted
-    repeats = F.size(F.array_distinct("__w")) < F.size("__w")
-    empty = F.array().cast("array<struct<x:bigint,i:int>>")
-    order = F.when(repeats, F.array_sort(F.transform("__w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(empty)
-    rows = rows.select("*", order.alias("__o"))
-    o = F.col("__o")
-    twice = F.filter(o, lambda p, k: (F.get(o, k - 1)["x"].eqNullSafe(p["x"]) & (k > 0)) | F.get(o, k + 1)["x"].eqNullSafe(p["x"]))
-    rows = rows.select("*", F.array_sort(F.transform(twice, lambda p: p["i"])).alias("__t"))
-    t = F.col("__t")
-    # a repeated window covers its words up to where the next one begins
-    covered = F.aggregate(F.transform(t, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(t, k + 1) - i, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    n_words = F.size("__h").cast("long")
-    return rows.select(
-        id_col,
-        *keep,
-        "__h",
-        n_words.alias("n_words"),
-        F.length(F.regexp_replace("__text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-    )
+def _windows(h: Column) -> Column:
+    """Hash of the words of every window, from hashes of its pairs."""
+    n = F.greatest(F.size(h) - WINDOW + 1, F.lit(0))
+    return let(_pairs(h), lambda p: F.zip_with(F.zip_with(F.slice(p, 1, n), F.slice(p, 3, n), lambda x, y: F.xxhash64(x, y)), F.slice(h, WINDOW, n), lambda x, y: F.xxhash64(x, y)))
+
+
+def _repeated_words(h: Column) -> Column:
+    """Words in windows that the text has twice or more; nothing is sorted where none repeats."""
+
+    def twice(order: Column) -> Column:
+        """Places of the windows that equal a neighbour in the sorted windows."""
+        near = lambda p, k: F.get(order, k)["x"].eqNullSafe(p["x"])
+        return F.array_sort(F.transform(F.filter(order, lambda p, k: near(p, k + 1) | ((k > 0) & near(p, k - 1))), lambda p: p["i"]))
+
+    def covered(t: Column) -> Column:
+        """A repeated window covers its words up to where the next one begins."""
+        steps = F.transform(t, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(t, k + 1) - i, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+
+    def count(w: Column) -> Column:
+        order = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(let(order, twice), covered)).otherwise(0)
+
+    return let(_windows(h), count)
 
 
 def quality_rules(
@@ -122,11 +121,26 @@ def quality_rules(
     """
     ratios = log_ratios(docs, trusted, buckets, prior, id_col, text_col)
     model = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    grams = _grams(F.col("__h"), buckets)
-    rows = base_rules(docs, id_col, text_col, *keep)
-    total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(model, b))
-    n = F.greatest(2 * F.size("__h") - 1, F.lit(1))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.select("*", (total / n).alias("llr"), failed.alias("base_failed"))
-    verdict = ~F.col("base_failed") & (F.col("llr") >= threshold)
-    return rows.select(id_col, *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "llr")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
+
+    def measured(h: Column) -> Column:
+        total = F.aggregate(_grams(h, buckets), F.lit(0.0), lambda a, b: a + F.get(model, b))
+        mean = total / F.greatest(2 * F.size(h) - 1, F.lit(1))
+        return F.struct(F.size(h).cast("long").alias("words"), _repeated_words(h).cast("long").alias("repeats"), mean.alias("llr"))
+
+    m = F.col("__m")
+    failed = (m["words"] < 10) | (100 * m["repeats"] > 20 * m["words"])
+    rows = docs.select(id_col, *keep, text.alias("__text"), let(_hashes(text), measured).alias("__m"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("__lines"))
+    return rows.select(
+        id_col,
+        *keep,
+        m["words"].alias("n_words"),
+        F.length(F.regexp_replace("__text", SPACE, "")).cast("long").alias("word_chars"),
+        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("__lines").cast("long").alias("n_dup_lines"),
+        m["repeats"].alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        (~failed & (m["llr"] >= threshold)).alias("kept"),
+        m["llr"].alias("llr"),
+    )
