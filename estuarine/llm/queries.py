@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estuarine.llm import htmltext, linededup, lm, neardup, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
+from estuarine.llm import htmltext, linededup, lm, neardup, nndescent, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
 from estuarine.llm.common import tokenizer_path
 from estuarine.llm.registry import query
 
@@ -41,6 +41,11 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op6_nn_descent")
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = linededup.line_components(table(spark, sf_dir, "documents"))
