@@ -285,6 +285,7 @@ def near_vectors(
     facts = nodes.select("node", "grp", "vec", "w").join(label, "node").join(found, "node", "left")
     facts = facts.select("grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component")
     usable = rows.join(facts, ["grp", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    out = vectors.select(F.col(id_col).cast("long").alias(id_col)).join(usable, F.col(id_col) == F.col("id"), "left")
+    usable = usable.toDF("__id", "n_links", "component")
+    out = vectors.select(F.col(id_col).cast("long").alias(id_col)).join(usable, F.col(id_col) == F.col("__id"), "left")
     component = F.coalesce("component", F.col(id_col))
     return out.select(F.col(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))

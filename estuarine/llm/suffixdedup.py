@@ -243,7 +243,7 @@ def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col:
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_col)))
     rows = docs.select(F.col(id_col), *map(F.col, keep), key.alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    spans = repeated_spans(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")), length)
+    spans = repeated_spans(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")), length).toDF("__span_key", "__spans")
 
     def run(batches):
         for batch in batches:
@@ -263,5 +263,5 @@ def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out[: 4 + with_text]], names=[*batch.schema.names[:n], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: n + 4 + with_text])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: 1 + len(keep)])
-    joined = rows.join(spans, rows["__key"] == spans["key"], "left").select(id_col, *keep, "__text", "spans")
+    joined = rows.join(spans, F.col("__key") == F.col("__span_key"), "left").select(id_col, *keep, "__text", "__spans")
     return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
