@@ -82,9 +82,12 @@ def chunks(tokens: Column, size: int, overlap: int) -> Column:
 MARKER_GENES = ["18S", "16S", "COI", "12S", "ITS"]
 
 
-def marker_gene(description: Column, seq: Column, genes: list[str] | None = None) -> Column:
-    """First gene found in the description or the first 100 bases; null if none."""
-    text, head = F.upper(description), F.upper(seq.substr(1, 100))
+def marker_gene(description: Column, seq: Column, genes: list[str] | None = None, head_bases: int | None = None) -> Column:
+    """First gene found in the description or the sequence; null if none.
+
+    `head_bases` looks at that many bases from the start instead of the whole sequence.
+    """
+    text, head = F.upper(description), F.upper(seq.substr(1, head_bases) if head_bases else seq)
     rules = [
         (text.contains(g.upper()) | head.contains(g.upper()), g) for g in (genes or MARKER_GENES)
     ]

@@ -112,8 +112,8 @@ def best_hit(hits: DataFrame, min_identity: float = IDENTITY_MIN, mode: str = "i
     if mode == "first":
         return hits.groupBy("query_id").agg(F.min_by(F.struct(*rest), F.col("pos")).alias("h")).select("query_id", "h.*")
     good = hits.filter(F.col("identity") >= min_identity)
-    order = F.struct(F.col("identity"), -F.col("pos"))
-    return good.groupBy("query_id").agg(F.max_by(F.struct(*rest), order).alias("h")).select("query_id", "h.*")
+    order = F.struct(-F.col("identity"), F.col("pos"))
+    return good.groupBy("query_id").agg(F.min_by(F.struct(*rest), order).alias("h")).select("query_id", "h.*")
 
 
 def hits_to_assignments(hits: DataFrame, reads: DataFrame, span_coverage: bool = True) -> DataFrame:

@@ -35,16 +35,13 @@ def kmeans(vectors: DataFrame, k: int, seeds: tuple[int, ...] = (42,), max_iter:
     return best.transform(rows).drop("__features")
 
 
-def estimate_k(vectors: DataFrame, upper: int = 20) -> int:
-    """k at the largest second difference of the k-means cost.
+def estimate_k(vectors: DataFrame, upper: int = 20, lower: int = 2) -> int:
+    """k in `lower`..`upper` at the largest second difference of the k-means cost.
 
     Kept offset: the index of the second difference plus two, inside the range.
     """
-    top = min(upper, vectors.count() // 10)
-    if top < 2:
-        return 2
     rows = _features(vectors)
-    candidates = list(range(2, top + 1))
+    candidates = list(range(lower, upper + 1))
     costs = [
         KMeans(k=k, seed=42, maxIter=50, featuresCol="__features").fit(rows).summary.trainingCost for k in candidates
     ]
@@ -60,7 +57,7 @@ def hierarchical(vectors: DataFrame, k: int) -> DataFrame:
     return model.transform(rows).drop("__features")
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over `links` (a, b).
 
     Each round takes the smallest label around a node, then jumps to the label's own
@@ -70,7 +67,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, rounds: int = 100)
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     )
     state = materialize(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    while True:
         around = (
             both.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
             .groupBy("a")
@@ -86,7 +83,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, rounds: int = 100)
         state = moved.select("id", "component")
         if moved.filter("moved").isEmpty():
             return state
-    raise RuntimeError("components did not settle")
 
 
 def _links(eps: float):

@@ -60,11 +60,18 @@ def display_name(genus: Column, species: Column, family: Column, order: Column)
 
 
 def organism_id(genus: Column, species: Column, signature: Column) -> Column:
+    """The printed form; different organisms may share it. Join by `organism_key`."""
     known = lambda c: F.coalesce(c, F.lit("Unknown"))
     text = F.concat_ws("_", known(genus), known(species), F.left(signature, F.lit(8)))
     return F.concat(F.lit("ORG_"), F.upper(F.left(F.md5(text), F.lit(12))))
 
 
+def organism_key(genus: Column, species: Column, signature: Column) -> Column:
+    """Full hash of name and whole signature."""
+    known = lambda c: F.coalesce(c, F.lit("Unknown"))
+    return F.sha2(F.concat_ws("\x00", known(genus), known(species), F.coalesce(signature, F.lit(""))), 256)
+
+
 def identification_confidence(n: Column, filled: Column, mean_length: Column) -> Column:
     """Number of sequences, completeness of the lineage and length, capped at 1."""
     score = (
@@ -159,6 +166,7 @@ def identify_organisms(groups: DataFrame, known: DataFrame, group_key: str = "gr
         group_key,
         "signature",
         F.coalesce(F.col("matched_id").cast("string"), organism_id(col("genus"), col("species"), F.col("signature"))).alias("organism_id"),
+        F.coalesce(F.col("matched_id").cast("string"), organism_key(col("genus"), col("species"), F.col("signature"))).alias("organism_key"),
         F.col("matched_id").isNull().alias("is_new"),
         "match_tier",
         display_name(col("genus"), col("species"), col("family"), col("order")).alias("organism_name"),

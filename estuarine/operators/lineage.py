@@ -38,21 +38,18 @@ EVIDENCE_WEIGHTS = {
 }
 OTHER_WEIGHT = 0.5
 
-MAX_STEPS = 100
-
-
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """(taxid, path): the node and its ancestors, itself first, from (taxid, parent, rank, name).
 
     Each round doubles the climbed distance, so a tree of depth d takes log2(d) joins.
     Finished rows leave the join; a parent matches one row only, so a popular
-    ancestor is split by the adaptive skew join. Cycles end after MAX_STEPS.
+    ancestor is split by the adaptive skew join. A node that comes up again in its own
+    path lies on a cycle, which is an error in the tree.
     """
     own = F.array(F.struct("taxid", "rank", "name"))
     up = F.when(F.col("parent") != F.col("taxid"), F.col("parent"))
     state = materialize(nodes.select("taxid", own.alias("path"), up.alias("up")))
-    climbed = 1
-    while climbed < MAX_STEPS and not state.filter(F.col("up").isNotNull()).isEmpty():
+    while not state.filter(F.col("up").isNotNull()).isEmpty():
         ahead = state.select(F.col("taxid").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"))
         moved = (
             state.filter(F.col("up").isNotNull())
@@ -64,8 +61,10 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
             )
         )
         state = materialize(state.filter(F.col("up").isNull()).unionByName(moved))
-        climbed *= 2
-    return state.select("taxid", F.slice("path", 1, MAX_STEPS).alias("path"))
+        again = F.exists(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda x: x["taxid"] == F.col("taxid"))
+        if found := state.filter(again).select("taxid").first():
+            raise ValueError(f"the tree has a cycle through {found['taxid']}")
+    return state.select("taxid", "path")
 
 
 def _at_rank(rank: str, last: bool = False) -> Column:
@@ -147,7 +146,7 @@ def resolve_enhanced(ids: DataFrame, paths: DataFrame, scientific: DataFrame, me
 
 # Name classes that count as common names and synonyms.
 COMMON_CLASSES = ["common name", "genbank common name"]
-SYNONYM_CLASSES = ["synonym", "equivalent name", "genbank synonym"]
+SYNONYM_CLASSES = ["synonym", "equivalent name", "anamorph"]
 
 
 def taxon_names(names: DataFrame) -> DataFrame:

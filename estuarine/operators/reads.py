@@ -428,14 +428,18 @@ def read_signature(reads: DataFrame, k: int = 6, top: int = 64, key: str = "sequ
 
 
 def encode_kmers(reads: DataFrame, k: int, max_len: int, key: str = "sequence_id") -> DataFrame:
-    """k-mer ids (lexicographic rank + 1, 0 pads) and mask, both of length `max_len`."""
-    words = F.filter(
-        F.slice(kmers(F.col("seq"), k), 1, max_len), lambda w: w.rlike("^[ACGT]+$")
-    )
-    ids = F.transform(words, lambda w: exact_base_rank(w) + 1)
+    """k-mer ids (lexicographic rank + 1, 0 pads) and mask, both of length `max_len`.
+
+    A longer sequence gives several rows, numbered by `chunk`; a sequence without k-mers one.
+    """
+    words = F.filter(kmers(F.col("seq"), k), lambda w: w.rlike("^[ACGT]+$"))
+    last = F.greatest(F.ceil(F.size("__w") / F.lit(max_len)) - 1, F.lit(0)).cast("int")
+    reads = reads.select(key, words.alias("__w")).select(key, "__w", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    ids = F.transform(F.slice("__w", F.col("chunk") * max_len + 1, F.lit(max_len)), lambda w: exact_base_rank(w) + 1)
     pad = lambda a, zero: F.slice(F.concat(a, F.array_repeat(zero, max_len)), 1, max_len)
     return reads.select(
         key,
+        F.col("chunk").cast("long").alias("chunk"),
         pad(ids, F.lit(0).cast("long")).alias("input_ids"),
         pad(F.transform(ids, lambda _: F.lit(1)), F.lit(0)).alias("attention_mask"),
     )

@@ -103,14 +103,18 @@ def filter_studies(
 
 # Name cleaning patterns, fallback and length.
 RESERVED_CHARS = r'[<>:"/\\|?*\x00-\x1f]'
-UNNAMED, NAME_LENGTH = "unnamed_dataset", 100
+UNNAMED = "unnamed_dataset"
 
 
-def clean_name(name: Column) -> Column:
-    """File-safe name: reserved characters and runs of blanks become one underscore."""
+def clean_name(name: Column, length: int | None = None) -> Column:
+    """File-safe name: reserved characters and runs of blanks become one underscore.
+
+    `length` cuts the name, where a file system asks for it; then names may collide.
+    """
     text = F.regexp_replace(F.coalesce(name, F.lit("")), RESERVED_CHARS, "_")
     text = F.regexp_replace(F.regexp_replace(text, r"[_\s]+", "_"), "^_+|_+$", "")
-    return F.left(F.when(text == "", UNNAMED).otherwise(text), F.lit(NAME_LENGTH))
+    named = F.when(text == "", UNNAMED).otherwise(text)
+    return F.left(named, F.lit(length)) if length else named
 
 
 def report_organisms(seqs: DataFrame, profiles: DataFrame, reports: DataFrame) -> DataFrame:
@@ -301,13 +305,13 @@ def compact_store(df: DataFrame, path: str, files: int, older_than: Column | Non
     The caller swaps the paths only when `verified` holds.
     """
     chosen = df.filter(older_than) if older_than is not None else df
-    chosen.coalesce(files).write.option("compression", "zstd").parquet(path)
+    chosen.repartition(files).write.option("compression", "zstd").parquet(path)
     copied = df.sparkSession.read.schema(chosen.schema).parquet(path)
 
     def print_of(d: DataFrame, side: str) -> DataFrame:
         h = F.xxhash64(*[F.col(c) for c in sorted(d.columns)])
         return d.agg(
-            F.count(F.lit(1)).alias(f"{side}_rows"), F.bit_xor(h).alias(f"{side}_print")
+            F.count(F.lit(1)).alias(f"{side}_rows"), F.sum(h.cast("decimal(20,0)")).alias(f"{side}_print")
         )
 
     both = print_of(chosen, "old").join(F.broadcast(print_of(copied, "new")))  # one row each

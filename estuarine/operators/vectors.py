@@ -18,15 +18,30 @@ from estuarine.functions.sequences import kmers
 from estuarine.functions.vectors import l2, normalize
 from estuarine.operators.blocks import CHUNK, distances, grid_apply, matrix
 from estuarine.operators.ordered import top_per_group
+from estuarine.session import materialize
 
 TIE_DIGITS = 9
-MAX_PIVOTS = 64
+# A store of n vectors gets sqrt(n / PIVOT_ROWS) pivots.
+PIVOT_ROWS = 256
 
 
 def as_doubles(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 
 
+def _smallest(cost: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of every row, of equal values the first ones."""
+    n = cost.shape[1]
+    if k >= n:
+        return np.argsort(cost, axis=1, kind="stable")
+    limit = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
+    below = cost < limit
+    level = cost == limit
+    room = k - below.sum(1, keepdims=True)
+    chosen = below | (level & (np.cumsum(level, axis=1) <= room))
+    return np.nonzero(chosen)[1].reshape(len(cost), k)
+
+
 def _kernel(k: int, metric: str, exclude: bool):
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(left["vec"]), matrix(right["vec"])
@@ -34,7 +49,7 @@ def _kernel(k: int, metric: str, exclude: bool):
         order = np.argsort(r, kind="stable")
         b, r = b[order], r[order]
         runs = (left["run"].to_numpy(), right["run"].to_numpy()[order]) if exclude else None
-        out = []
+        ids, refs, found = [], [], []
         slices = (
             ((s, a[s : s + 256] @ b.T) for s in range(0, len(a), 256))
             if metric == "ip"
@@ -43,23 +58,24 @@ def _kernel(k: int, metric: str, exclude: bool):
         for start, values in slices:
             values = np.round(values, TIE_DIGITS)
             cost = -values if metric == "ip" else values
-            for i in range(len(values)):
-                row = cost[i]
-                if exclude:
-                    row = np.where(runs[1] == runs[0][start + i], np.inf, row)
-                top = np.argsort(row, kind="stable")[:k]
-                top = top[np.isfinite(row[top])]
-                out.append(
-                    pd.DataFrame({"query_id": q[start + i], "ref_id": r[top], "value": values[i][top]})
-                )
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "ref_id", "value"])
+            rows = np.arange(start, start + len(values))
+            if exclude:
+                cost = np.where(runs[1][None, :] == runs[0][rows, None], np.inf, cost)
+            top = _smallest(cost, k)
+            kept = np.isfinite(np.take_along_axis(cost, top, 1))
+            ids.append(np.repeat(q[rows], kept.sum(1)))
+            refs.append(r[top[kept]])
+            found.append(np.take_along_axis(values, top, 1)[kept])
+        if not ids:
+            return pd.DataFrame(columns=["query_id", "ref_id", "value"])
+        return pd.DataFrame({"query_id": np.concatenate(ids), "ref_id": np.concatenate(refs), "value": np.concatenate(found)})
 
     return best
 
 
 def choose_pivots(vectors: DataFrame, rows: int, wanted: int | None = None) -> np.ndarray:
-    """At most MAX_PIVOTS vectors, picked by a hash of their id; one for small sets."""
-    count = wanted or (1 if rows <= 2 * CHUNK else min(MAX_PIVOTS, int(math.sqrt(rows / CHUNK)) * 8))
+    """Vectors picked by a hash of their id; their number grows with the root of the rows."""
+    count = wanted or max(1, math.ceil(math.sqrt(rows / PIVOT_ROWS)))
     picked = vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").collect()
     return np.array([r.vec for r in picked], dtype=np.float64)
 
@@ -103,7 +119,7 @@ def probe_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, reac
 
 def _cell_radius(placed: DataFrame, cells: int) -> np.ndarray:
     radius = np.full(cells, -np.inf)
-    for r in placed.groupBy("cell").agg(F.max("pivot_distance").alias("m")).collect():  # <= MAX_PIVOTS rows
+    for r in placed.groupBy("cell").agg(F.max("pivot_distance").alias("m")).collect():  # one row per pivot
         radius[r.cell] = r.m
     return radius
 
@@ -135,11 +151,11 @@ def knn_join(
     if len(pivots) <= 1:
         q, r = q.withColumn("cell", F.lit(0)), r.withColumn("cell", F.lit(0))
     else:
-        placed = assign_cells(r, pivots)
+        placed = materialize(assign_cells(r, pivots))
         radius = _cell_radius(placed, len(pivots))
         near = top_per_group(placed.select("cell", "pivot_distance", "ref_id"), ["cell"], [F.asc("pivot_distance"), F.asc("ref_id")], k)
         inner: dict[int, list[float]] = {}
-        for row in near.collect():  # <= k * MAX_PIVOTS numbers
+        for row in near.collect():  # k numbers per pivot
             inner.setdefault(row.cell, []).append(row.pivot_distance)
         cells = np.repeat(list(inner), [len(x) for x in inner.values()]).astype(int)
         steps = np.concatenate([np.array(x) for x in inner.values()])
@@ -170,17 +186,12 @@ def search_vectors(
     return knn_join(queries, store, k, "l2", exclude_run=run if exclude_same_run else None)
 
 
-# Exact search below this many vectors, list count rule above it.
-EXACT_BELOW, MAX_LISTS, ROWS_PER_LIST = 10_000, 100, 100
-
-
-def ann_lists(rows: int) -> int:
-    return 1 if rows < EXACT_BELOW else min(MAX_LISTS, rows // ROWS_PER_LIST)
+def ann_index(vectors: DataFrame, lists: int = 1, key: str = "vec_id", seed: int = 42):
+    """Inverted lists around k-means centres: (indexed rows with `cell`, centres).
 
-
-def ann_index(vectors: DataFrame, lists: int | None = None, key: str = "vec_id", seed: int = 42):
-    """Inverted lists around k-means centres: (indexed rows with `cell`, centres)."""
-    lists = lists or ann_lists(vectors.count())
+    One list makes the search exact. How many lists a larger store gets is the caller's
+    choice, whatever its size; `ann_recall` measures what a choice costs.
+    """
     rows = vectors.select(F.col(key).alias("ref_id"), as_doubles(F.col("embedding")).alias("vec"))
     if lists == 1:
         return rows.withColumn("cell", F.lit(0)), np.zeros((1, 1))
@@ -201,6 +212,14 @@ def ann_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
     return _grid_knn(q, index, k, "l2")
 
 
+def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(neighbours, found, recall) of an approximate search against an exact one."""
+    pair = ["query_id", "ref_id"]
+    hit = exact.select(*pair).join(found.select(*pair, F.lit(1).alias("hit")), pair, "left")
+    n, got = F.count(F.lit(1)), F.count("hit")
+    return hit.agg(n.alias("neighbours"), got.alias("found"), (got / n).alias("recall"))
+
+
 def consolidate(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Stored vectors plus those of runs the store does not have."""
     run = ["dataset", "run_id"]

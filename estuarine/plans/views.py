@@ -46,7 +46,7 @@ class Views:
                 F.col("doc_id").alias("sequence_id"),
                 F.col("source").alias("sample_id"),
                 F.col("lang").alias("organism"),
-                F.substring("text", 1, 120).alias("description"),
+                F.col("text").alias("description"),
                 seq.alias("seq"),
             )
             _INGESTED[key] = store(rows.withColumn("qual", pseudo_phred(F.col("seq"))))
@@ -146,10 +146,10 @@ class Views:
 
 SQL = {
     "reads": """SELECT doc_id AS sequence_id, source AS sample_id, lang AS organism,
-        substr(text,1,120) AS description,
+        text AS description,
         upper(regexp_replace(text,'[^ACGTNacgtn]','','g')) AS seq FROM documents""",
     "qreads": """SELECT doc_id AS sequence_id, source AS sample_id, lang AS organism,
-        substr(text,1,120) AS description, s AS seq,
+        text AS description, s AS seq,
         list_transform(range(1, length(s)+1),
           lambda i: (ascii(substr(s, i, 1)) + (i-1)*7) % 42) AS qual
         FROM (SELECT *, upper(regexp_replace(text,'[^ACGTNacgtn]','','g')) AS s FROM documents)""",

@@ -219,12 +219,12 @@ def _(v):
 
 @query("taxon_classifier")
 def _(v):
-    model, held = A.train_taxon_classifier(v.vectors, trees=20)
+    model, held = A.train_taxon_classifier(v.vectors)
     out = A.classifier_report(model, held)
     return rounded(out, "precision", "recall", "f1", "accuracy")
 
 
 @query("predict_taxa")
 def _(v):
-    model, _held = A.train_taxon_classifier(v.vectors, trees=20)
+    model, _held = A.train_taxon_classifier(v.vectors)
     return A.predict_taxa(model, v.vectors).withColumn("probability", rnd("probability"))

@@ -26,7 +26,7 @@ def _(v):
 
 @query("estimate_k")
 def _(v):
-    return v.spark.range(1).select(F.lit(C.estimate_k(v.vectors, 8)).alias("k"))
+    return v.spark.range(1).select(F.lit(C.estimate_k(v.vectors)).alias("k"))
 
 
 @query("hierarchical")

@@ -118,7 +118,7 @@ GENES = ["THER", "ENT", "COI", "AAT"]
 
 def gene_sql() -> str:
     rules = " ".join(
-        f"WHEN contains(upper(description),'{g}') OR contains(substr(seq,1,100),'{g}') THEN '{g}'"
+        f"WHEN contains(upper(description),'{g}') OR contains(seq,'{g}') THEN '{g}'"
         for g in GENES
     )
     return f"CASE {rules} END"
@@ -354,9 +354,9 @@ def _(v):
         unnest(range(1, length(seq)-2)) AS i FROM reads WHERE length(seq)>=4)),
       r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY i) AS p FROM k WHERE NOT contains(w,'N')),
       e AS (SELECT sequence_id, p, 1+list_sum(list_transform(range(1,5), lambda j:
-          (instr('ACGT', substr(w,j,1))-1)*power(4,4-j)))::BIGINT AS id FROM r WHERE p<=64)
-    SELECT sequence_id, coalesce(sum(id),0)::BIGINT AS id_sum, coalesce(sum(id*p),0)::BIGINT AS id_order_sum,
-      count(id) AS used, 64 AS padded FROM reads LEFT JOIN e USING (sequence_id) GROUP BY 1""",
+          (instr('ACGT', substr(w,j,1))-1)*power(4,4-j)))::BIGINT AS id FROM r)
+    SELECT sequence_id, coalesce((p-1)//64,0) AS chunk, coalesce(sum(id),0)::BIGINT AS id_sum, coalesce(sum(id*((p-1)%64+1)),0)::BIGINT AS id_order_sum,
+      count(id) AS used, 64 AS padded FROM reads LEFT JOIN e USING (sequence_id) GROUP BY 1, 2""",
     "reads",
 )
 def _(v):
@@ -365,6 +365,7 @@ def _(v):
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return enc.select(
         "sequence_id",
+        "chunk",
         total("input_ids").alias("id_sum"),
         total(weighted).alias("id_order_sum"),
         total("attention_mask").alias("used"),

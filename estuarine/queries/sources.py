@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estuarine.functions.mathx import rnd
+from estuarine.operators.assign import best_hit
 from estuarine.queries import query
 from estuarine.session import shared_dir
 from estuarine.sources import sequences as Q
@@ -50,13 +53,13 @@ def _(v):
 @query(
     "flatfile_roundtrip",
     f"""SELECT 'E' || sequence_id AS sequence_id, {CLEAN} AS description, organism, seq,
-      'CHAIN;SIGNAL' AS features FROM reads WHERE {CLEAN} <> '' AND seq <> ''""",
+      'CHAIN;SIGNAL' AS features FROM reads""",
     "reads",
 )
 def _(v):
     path = scratch(v, "entries.sp")
     text = F.trim(F.regexp_replace("description", r"\s+", " "))
-    rows = v.reads.filter((text != "") & (F.col("seq") != ""))
+    rows = v.reads
     line = lambda tag, c: F.concat(F.lit(f"{tag}   "), c)
     entry = F.concat_ws(
         "\n",
@@ -77,23 +80,20 @@ def _(v):
 
 @query(
     "detect_formats",
-    """SELECT * FROM (VALUES ('a.fa','fasta',1),('b.fastq','fastq',1),('c.dat','fastq',1),('d.dat','genbank',1))
-    t(name, format, files)""",
+    """SELECT CASE doc_id%4 WHEN 0 THEN 'a.fa' WHEN 1 THEN 'b.fastq' WHEN 2 THEN 'c.dat' ELSE 'd.dat' END AS name,
+      CASE doc_id%4 WHEN 0 THEN 'fasta' WHEN 3 THEN 'genbank' ELSE 'fastq' END AS format, count(*) AS lines FROM documents GROUP BY ALL""",
 )
 def _(v):
     folder = scratch(v, "mixed")
-    few = v.table("region").select(F.col("r_name"))
-    write = lambda name, lead: few.coalesce(1).select(F.concat(F.lit(lead), "r_name")).write.text(f"{folder}/{name}")
-    for name, lead in (("a.fa", "x"), ("b.fastq", "@"), ("c.dat", "@"), ("d.dat", "LOCUS ")):
-        write(name, lead)
-    parts = [
-        Q.detect_formats(v.spark, f"{folder}/{name}").select(F.lit(name).alias("name"), "source_file", "format")
-        for name in ("a.fa", "b.fastq", "c.dat", "d.dat")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("name", "format").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    leads = {"a.fa": "x", "b.fastq": "@", "c.dat": "@", "d.dat": "LOCUS "}
+    out = []
+    for i, (name, lead) in enumerate(leads.items()):
+        rows = v.table("documents").filter(F.col("doc_id") % 4 == i)
+        rows.select(F.concat(F.lit(lead), F.md5("text"))).write.text(f"{folder}/{name}")
+        lines = v.spark.read.text(f"{folder}/{name}").groupBy(F.col("_metadata.file_path").alias("source_file")).agg(F.count(F.lit(1)).alias("lines"))
+        found = Q.detect_formats(v.spark, f"{folder}/{name}").join(lines, "source_file")
+        out.append(found.select(F.lit(name).alias("name"), "format", "lines"))
+    return reduce(DataFrame.unionByName, out).groupBy("name", "format").agg(F.sum("lines").alias("lines"))
 
 
 @query(
@@ -156,9 +156,9 @@ def _(v):
     }
     rows = v.table("lineitem").select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in cols])
     rows.write.option("sep", "\t").csv(path)
-    return T.read_hits(v.spark, path).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"), rnd(F.max("identity")).alias("best")
-    )
+    back = T.read_hits(v.spark, path)
+    best = best_hit(back, 0.0).select("query_id", rnd("identity").alias("best"))
+    return back.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits")).join(best, "query_id")
 
 
 @query(
@@ -213,17 +213,18 @@ def _(v):
 
 def _artifact_files(runs, root):
     """Artifact files written by the tasks that hold the rows."""
-    import os
-
-    base = root.removeprefix("file://").removeprefix("file:")
+    base = Q.qualified(runs.sparkSession, root)
 
     def put(rows):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
         for r in rows:
             name = "taxonomy/taxonomy_predictions.csv" if r.t else "pipeline_results.json"
-            target = f"{base}/{r.dataset}/{r.run_id}/{name}"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w") as out:
-                out.write(r.n_name)
+            target = f"{top}/{r.dataset}/{r.run_id}/{name}"
+            system.create_dir(target.rpartition("/")[0])
+            with system.open_output_stream(target) as out:
+                out.write(r.n_name.encode())
 
     runs.foreachPartition(put)
 

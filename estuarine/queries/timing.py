@@ -59,13 +59,13 @@ def _(v):
 @query(
     "daily_trend_stream",
     """SELECT ts::DATE AS day, count(*) AS n, round(avg(value),6) AS avg_value, round(min(value),6) AS min_value, round(max(value),6) AS max_value FROM events
-    GROUP BY 1 HAVING (ts::DATE)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    GROUP BY 1""",
 )
 def _(v):
     out = T.daily_trend(event_stream(v), "ts", "value", "user_id")
     path = scratch(v, "daily")
-    T.run_once(out, path, f"{path}-checkpoint")
-    return rounded(v.spark.read.parquet(path).drop("distinct_items"), "avg_value", "min_value", "max_value")
+    T.run_updates(out, path, f"{path}-checkpoint")
+    return rounded(T.read_updates(v.spark, path, "day").drop("distinct_items"), "avg_value", "min_value", "max_value")
 
 
 @query(
@@ -105,7 +105,6 @@ def _(v):
     stream = event_stream(v).select(
         F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("vec_id"), "ts"
     )
-    out = T.append_vectors(stream, "ts", "60 days")
     path = scratch(v, "append")
-    T.run_once(out, path, f"{path}-checkpoint")
+    T.append_vectors(stream, path, f"{path}-checkpoint")
     return v.spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ class _Range(InputPartition):
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 class FastqSource(DataSource):
@@ -41,6 +41,7 @@ class FastqReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
+        self.path = self.path.rstrip("/")
         system, root = _filesystem(self.path)
         info = system.get_file_info(root)
         if info.type == fs.FileType.Directory:
@@ -48,7 +49,8 @@ class FastqReader(DataSourceReader):
             files = [f for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
         else:
             files = [info]
-        prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        # object stores name their files with the bucket, others by the path on the same server
+        prefix = self.path[: len(self.path) - len(root.rstrip("/"))] if self.path.rstrip("/").endswith(root.rstrip("/")) else self.path.split("://")[0] + "://"
         out = []
         for f in sorted(files, key=lambda f: f.path):
             name = prefix + f.path
@@ -67,81 +69,90 @@ class FastqReader(DataSourceReader):
         system, name = _filesystem(part.path)
         if part.stop is None:
             with system.open_input_stream(name, compression="gzip") as stream:
-                yield from self._records(_Lines(stream, 0), None, part.path)
+                yield from _batches(stream, b"", 0, None, part.path)
             return
         with system.open_input_file(name) as handle:
-            at = max(part.start - 1, 0)
-            handle.seek(at)
-            lines = _Lines(handle, at)
-            if part.start > 0:
-                lines.next()  # to the first line starting inside the range
-                lines.align()
-            yield from self._records(lines, part.stop, part.path)
-
-    @staticmethod
-    def _records(lines, stop, path):
-        while stop is None or lines.at < stop:
-            head = lines.next()
-            if head is None:
+            if part.start == 0:
+                yield from _batches(handle, b"", 0, part.stop, part.path)
                 return
-            if not head.strip():
-                continue
-            seq, _, quality = lines.next(), lines.next(), lines.next()
-            if quality is None:
-                return
-            text = head[1:].decode("utf-8", "replace").strip()
-            yield (
-                text.split(" ", 1)[0],
-                text,
-                seq.decode("ascii", "replace").strip().replace("�", "N"),
-                quality.decode("latin-1").rstrip("\r\n"),
-                path,
+            handle.seek(part.start - 1)
+            found = _first_record(handle)
+            if found is not None:
+                skipped, rest = found
+                yield from _batches(handle, rest, part.start - 1 + skipped, part.stop, part.path)
+
+
+BLOCK = 4 << 20
+
+
+def _first_record(handle) -> tuple[int, bytes] | None:
+    """Bytes up to the first record head after a line end, and what was read from there on.
+
+    A head is a line with '@', with '+' two lines on, and equal sequence and quality lengths.
+    """
+    buffer, at, ended = b"", -1, False
+    while True:
+        more = handle.read(BLOCK)
+        ended = not more
+        buffer += more
+        at = buffer.find(b"\n") + 1 if at < 0 else at
+        while at > 0:
+            ends = [at]
+            while len(ends) < 5 and (cut := buffer.find(b"\n", ends[-1])) >= 0:
+                ends.append(cut + 1)
+            if len(ends) == 4 and ended and ends[-1] < len(buffer):
+                ends.append(len(buffer))  # the last line of the file has no end
+            if len(ends) < 5:
+                break
+            head, seq, plus, quality = (buffer[a:b].rstrip(b"\r\n") for a, b in zip(ends[:-1], ends[1:], strict=True))
+            if head.startswith(b"@") and plus.startswith(b"+") and len(seq.rstrip()) == len(quality):
+                return at, buffer[at:]
+            at = ends[1]
+        if ended:
+            return None
+
+
+def _batches(stream, rest: bytes, at: int, stop: int | None, path: str):
+    """Arrow batches of the records that start before `stop`; `at` is the offset of `rest`."""
+    import numpy as np
+    import pyarrow as pa
+
+    ended = False
+    while not ended and (stop is None or at < stop):
+        more = stream.read(BLOCK)
+        ended = not more
+        buffer = rest + more
+        if ended and buffer and not buffer.endswith(b"\n"):
+            buffer += b"\n"
+        lines = buffer.split(b"\n")[:-1]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+        begins = at + np.cumsum(sizes) - sizes
+        if any(not h.startswith(b"@") for h in lines[::4]):  # blank lines between records
+            keep, i = [], 0
+            while i < len(lines):
+                if lines[i].strip():
+                    keep += range(i, min(i + 4, len(lines)))
+                    i += 4
+                else:
+                    i += 1
+            lines, begins, sizes = [lines[i] for i in keep], begins[keep], sizes[keep]
+        full = len(lines) // 4 * 4
+        if ended and full < len(lines):
+            raise ValueError(f"{path}: the last record is cut off")
+        used = int(begins[full]) - at if full < len(lines) else len(buffer) if ended or not lines or buffer.endswith(b"\n") else int(begins[-1] + sizes[-1]) - at
+        n = full if stop is None else 4 * int(np.searchsorted(begins[:full:4], stop))
+        rest, at = buffer[used:], at + used
+        if n:
+            heads = [h[1:].decode("utf-8", "replace").strip() for h in lines[:n:4]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([h.split(" ", 1)[0] for h in heads], pa.string()),
+                    pa.array(heads, pa.string()),
+                    pa.array([s.decode("ascii", "replace").strip().replace("\ufffd", "N") for s in lines[1:n:4]], pa.string()),
+                    pa.array([q.decode("latin-1").rstrip("\r") for q in lines[3:n:4]], pa.string()),
+                    pa.array([path] * len(heads), pa.string()),
+                ],
+                names=["sequence_id", "description", "seq", "quality", "source_file"],
             )
-
-
-class _Lines:
-    """Lines of a stream with the byte offset of the next one."""
-
-    def __init__(self, stream, at: int):
-        self.stream, self.at, self.buffer, self.done = stream, at, b"", False
-
-    def _peek(self, i: int):
-        """The i-th line ahead, without consuming it."""
-        pos = 0
-        for _ in range(i + 1):
-            while True:
-                cut = self.buffer.find(b"\n", pos)
-                if cut >= 0 or self.done:
-                    break
-                more = self.stream.read(1 << 20)
-                self.done = not more
-                self.buffer += more
-            if cut < 0:
-                if pos >= len(self.buffer):
-                    return None
-                cut = len(self.buffer) - 1
-            start, pos = pos, cut + 1
-        return self.buffer[start:pos]
-
-    def next(self):
-        line = self._peek(0)
-        if line is not None:
-            self.buffer = self.buffer[len(line) :]
-            self.at += len(line)
-        return line
-
-    def align(self):
-        """Skip to a record head: '@', and '+' two lines on, and equal seq/quality lengths."""
-        while True:
-            head, seq, plus, quality = (self._peek(i) for i in range(4))
-            if head is None or quality is None and plus is None:
-                return
-            if (
-                head.startswith(b"@")
-                and plus is not None
-                and plus.startswith(b"+")
-                and quality is not None
-                and len(seq.rstrip()) == len(quality.rstrip(b"\r\n"))
-            ):
-                return
-            self.next()
+        if stop is not None and n < full:
+            return

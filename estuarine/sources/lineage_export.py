@@ -17,6 +17,21 @@ TAXONOMY = "http://example.org/taxonomy/"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 PHYLOXML = "http://www.phyloxml.org"
 
+# What the names of a JSON-LD record stand for.
+CONTEXT = {
+    "@vocab": TAXONOMY,
+    "dwc": DWC,
+    "taxon": "dwc:Taxon",
+    "scientificName": "dwc:scientificName",
+    "kingdom": "dwc:kingdom",
+    "phylum": "dwc:phylum",
+    "class": "dwc:class",
+    "order": "dwc:order",
+    "family": "dwc:family",
+    "genus": "dwc:genus",
+    "species": "dwc:species",
+}
+
 FORMATS = ["json", "csv", "tsv", "xml", "json-ld", "rdf", "phyloxml"]
 
 
@@ -47,7 +62,7 @@ def _subject() -> Column:
 
 def _json_ld(df: DataFrame) -> Column:
     fields = [
-        F.struct(F.lit(TAXONOMY).alias("@vocab"), F.lit(DWC).alias("dwc"), F.lit("dwc:Taxon").alias("taxon")).alias("@context"),
+        F.struct(*[F.lit(v).alias(k) for k, v in CONTEXT.items()]).alias("@context"),
         F.lit("taxon").alias("@type"),
         F.concat(F.lit("urn:taxon:"), _subject()).alias("@id"),
         F.col("scientific_name").alias("scientificName"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     record = F.regexp_replace(F.ltrim(readable(F.col("value"))), "^>", "")
-    head = F.trim(F.regexp_extract(record, r"^([^\n]*)", 1))
+    head = F.regexp_replace(F.regexp_extract(record, r"^([^\n]*)", 1), r"^\s+|\s+$", "")
     return (
         raw.select(record.alias("r"), head.alias("h"), F.col("_metadata.file_path").alias("f"))
         .filter(F.length("h") > 0)
@@ -60,10 +62,21 @@ def write_fasta(
     reads.select(F.concat(F.lit(">"), head, F.lit("\n"), F.col("seq")).alias("value")).write.text(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and server that Spark itself would use."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
 def read_fastq(spark: SparkSession, path: str, max_split: int = 128 << 20) -> DataFrame:
-    """FASTQ files with phred scores; plain files are split on record borders."""
+    """FASTQ files with phred scores; plain files are split on record borders.
+
+    A path without scheme is on Spark's default file system. A record that a file's end cuts
+    off is an error.
+    """
     spark.dataSource.register(FastqSource)
-    raw = spark.read.format("fastq").option("maxSplit", str(max_split)).load(path)
+    raw = spark.read.format("fastq").option("maxSplit", str(max_split)).load(qualified(spark, path))
     return raw.select(
         "sequence_id",
         "description",
@@ -89,11 +102,12 @@ def _joined(block: Column) -> Column:
 
 def read_flatfile(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Swiss-Prot, EMBL or GenBank entries: id, description, organism, feature types, sequence."""
-    raw = spark.read.option("lineSep", "\n//\n").text(path)
-    entry = F.regexp_replace(readable(F.col("value")), r"\r", "")
+    # the separator holds for both kinds of line ends; what is left of the line goes
+    raw = spark.read.option("lineSep", "\n//").text(path)
+    entry = F.regexp_replace(F.regexp_replace(readable(F.col("value")), r"\r", ""), r"^[^\S\n]*\n", "")
     e = F.col("e")
     lines = lambda tag: F.array_join(
-        F.regexp_extract_all(e, F.lit(rf"(?m)^{tag}   (.*)$"), 1), " "
+        F.regexp_extract_all(e, F.lit(rf"(?m)^{tag}   (.*)$"), F.lit(1)), " "
     )
     if fmt in ("swiss", "embl"):
         fields = {
@@ -101,7 +115,7 @@ def read_flatfile(spark: SparkSession, path: str, fmt: str) -> DataFrame:
             "description": lines("DE"),
             "organism": F.regexp_replace(lines("OS"), r"\.$", ""),
             "feature_types": F.regexp_extract_all(e, F.lit(r"(?m)^FT   (\S+)"), 1),
-            "seq": _joined(F.regexp_extract(e, r"(?s)\nSQ   [^\n]*\n(.*?)(?:\n?//|$)", 1)),
+            "seq": _joined(F.regexp_extract(e, r"(?s)\nSQ   [^\n]*\n(.*)$", 1)),
         }
         start = r"(?m)^ID   "
     elif fmt == "genbank":
@@ -116,7 +130,7 @@ def read_flatfile(spark: SparkSession, path: str, fmt: str) -> DataFrame:
                 F.lit(r"(?m)^     (\S+)"),
                 1,
             ),
-            "seq": _joined(F.regexp_extract(e, r"(?s)\nORIGIN[^\n]*\n(.*?)(?:\n?//|$)", 1)),
+            "seq": _joined(F.regexp_extract(e, r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)),
         }
         start = r"(?m)^LOCUS"
     else:

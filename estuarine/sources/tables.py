@@ -149,8 +149,19 @@ HIT_COLUMNS = (
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment hits from tab-separated output, with their order inside the file."""
-    return spark.read.option("sep", "\t").schema(HIT_COLUMNS).csv(path)
+    """Alignment hits from tab-separated output; `pos` orders them as in their files.
+
+    Rows of a file are read in order, block by block, so the block's start and the row's
+    place among the rows of its task give that order without a sort.
+    """
+    rows = spark.read.option("sep", "\t").schema(HIT_COLUMNS).csv(path)
+    return rows.select("*", _place())
+
+
+def _place() -> Column:
+    """(file, start of the block, row in the task): sorts as the rows stand in their files."""
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos")
 
 
 def read_hits_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -174,6 +185,7 @@ def read_hits_xml(spark: SparkSession, path: str) -> DataFrame:
         hsp["Hsp_evalue"].alias("evalue"),
         hsp["Hsp_bit-score"].alias("bit_score"),
         F.col("Iteration_query-len").alias("query_length"),
+        _place(),
     )
 
 

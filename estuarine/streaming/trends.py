@@ -37,10 +37,14 @@ def daily_trend(events: DataFrame, ts: str, value: str, item: str, delay: str =
     )
 
 
-def distinct_per_day(events: DataFrame, ts: str, item: str, delay: str = "1 hour") -> DataFrame:
-    """First event of every item per day, for exact distinct counts downstream."""
-    dated = events.withColumn("day", F.to_date(ts)).withWatermark(ts, delay)
-    return dated.dropDuplicates(["day", item]).select("day", item, ts)
+def distinct_per_day(events: DataFrame, ts: str, item: str, delay: str = "25 hours") -> DataFrame:
+    """First event of every item per day, for exact distinct counts downstream.
+
+    The watermark runs over the starts of days, which are part of the key, so the state of a
+    day is freed once the latest day lies more than `delay` after it; later rows are dropped.
+    """
+    dated = events.withColumn("__day", F.date_trunc("day", ts)).withWatermark("__day", delay)
+    return dated.dropDuplicates(["__day", item]).select(F.to_date("__day").alias("day"), item, ts)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -56,30 +60,70 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def run_updates(stream: DataFrame, root: str, checkpoint: str) -> None:
+    """Process what is there and stop; every micro-batch leaves its changed rows in a folder.
+
+    Rows of the last, still open window are among them. A replayed batch writes its folder again.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_updates(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The newest row of every key."""
+    rows = spark.read.parquet(root)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(key, "r.*")
+
+
 class ProfileTable:
-    """Profiles kept as versioned folders; readers take the version named last.
+    """Profiles in hash buckets; a manifest beside the data names the folder of each bucket.
 
-    A version is a full new folder, so a failed batch leaves the old one in place, and a
-    replayed batch id rewrites nothing.
+    A batch writes new folders for the buckets it touches and then its part of the manifest, so
+    a failed batch leaves everything as it was, a replayed one changes nothing, and a new
+    object on the same folder goes on where the last one stopped.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.current: str | None = None
-        self.applied: set[int] = set()
+    KEY = "organism_id"
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = 64):
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
+
+    def _manifest(self) -> DataFrame:
+        kinds = "bucket int, path string, batch_id long"
+        known = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        if not known.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(known):
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).option("recursiveFileLookup", "true").parquet(f"{self.root}/manifest")
+
+    def _paths(self, buckets: DataFrame | None = None) -> list[str]:
+        """Folders of the buckets, at most one per bucket."""
+        newest = self._manifest().groupBy("bucket").agg(F.max_by("path", "batch_id").alias("path"))
+        if buckets is not None:
+            newest = newest.join(buckets, "bucket", "left_semi")
+        return [r["path"] for r in newest.collect()]
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        if self.current is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(self.current)
+        return self._rows(self._paths())
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self.applied:
+        last = self._manifest().agg(F.max("batch_id")).first()[0]
+        if last is not None and batch_id <= last:
             return
-        path = f"{self.root}/v{batch_id}-{uuid.uuid4().hex}"
-        upsert_profiles(self.read(), batch).write.parquet(path)
-        self.current = path
-        self.applied.add(batch_id)
+        bucket = F.pmod(F.xxhash64(self.KEY), F.lit(self.buckets)).cast("int")
+        touched = batch.select(bucket.alias("bucket")).distinct()
+        path = f"{self.root}/data/{batch_id}-{uuid.uuid4().hex}"
+        merged = upsert_profiles(self._rows(self._paths(touched)), batch)
+        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+        found = touched.select("bucket", F.concat(F.lit(f"{path}/bucket="), F.col("bucket").cast("string")).alias("path"), F.lit(batch_id).cast("long").alias("batch_id"))
+        found.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{batch_id}")
 
 
 def upsert_stream(detections: DataFrame, table: ProfileTable, checkpoint: str) -> None:
@@ -108,6 +152,22 @@ def upsert_stream(detections: DataFrame, table: ProfileTable, checkpoint: str) -
     query.awaitTermination()
 
 
-def append_vectors(vectors: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Vectors not seen within the watermark, for appending to the store."""
-    return vectors.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["dataset", "run_id", "vec_id"])
+def append_vectors(vectors: DataFrame, store: str, checkpoint: str) -> None:
+    """Append what the store at `store` does not have, then stop.
+
+    Each batch is held against everything stored before it, however old, and written to its own
+    folder; a replayed batch leaves its own earlier rows out of account and writes them again.
+    """
+    keys = ["dataset", "run_id", "vec_id"]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(keys)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            old = spark.read.option("basePath", store).parquet(store).filter(F.col("batch") != batch_id)
+            fresh = fresh.join(old.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    writer = vectors.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()

@@ -93,8 +93,10 @@ def test_kmers_and_encoding(spark):
     got = {r[0]: r[1] for r in df.select("sequence_id", S.kmers(F.col("seq"), 3)).collect()}
     assert got == {1: ["ATC", "TCG", "CGA", "GAT", "ATC", "TCG"], 2: [], 3: []}
     assert df.select(S.kmers(F.col("seq"), 3, clean=False)).collect()[1][0] == ["ACN", "CNG", "NGT"]
-    r = R.encode_kmers(df, 3, 4).orderBy("sequence_id").first()
-    assert r.input_ids == [14, 55, 25, 36] and r.attention_mask == [1, 1, 1, 1]
+    rows = R.encode_kmers(df, 3, 4).orderBy("sequence_id", "chunk").collect()
+    assert rows[0].input_ids == [14, 55, 25, 36] and rows[0].attention_mask == [1, 1, 1, 1]
+    assert (rows[1].chunk, rows[1].input_ids, rows[1].attention_mask) == (1, [14, 55, 0, 0], [1, 1, 0, 0])
+    assert [r.chunk for r in rows if r.sequence_id == 3] == [0]
 
 
 def test_kmers_of_a_long_text_take_linear_time(spark):

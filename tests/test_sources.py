@@ -149,3 +149,87 @@ def test_late_rows_are_dropped(spark, tmp_path):
     ST.run_once(ST.daily_trend(stream, "ts", "v", "u"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {str(r.day): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"2024-01-01": 4, "2024-01-03": 2, "2024-01-04": 1}
+
+
+def test_other_line_ends(spark, tmp_path):
+    """Files with CR LF give what files with LF give."""
+    (tmp_path / "a.fasta").write_bytes(b">s1 first one\r\nACGT\r\nAC\r\n>s2\r\nGG\r\n")
+    got = {r.sequence_id: (r.description, r.seq) for r in Q.read_fasta(spark, str(tmp_path / "a.fasta")).collect()}
+    assert got == {"s1": ("s1 first one", "ACGTAC"), "s2": ("s2", "GG")}
+    sp = "ID   P{}_HUMAN   Reviewed;\r\nDE   \r\nOS   Homo sapiens.\r\nSQ   SEQUENCE 4 AA;\r\n     MKVL\r\n//\r\n"
+    (tmp_path / "a.sp").write_bytes("".join(sp.format(i) for i in range(3)).encode())
+    rows = Q.read_flatfile(spark, str(tmp_path / "a.sp"), "swiss").collect()
+    assert [(r.sequence_id, r.description, r.organism, r.seq) for r in rows] == [(f"P{i}_HUMAN", "", "Homo sapiens", "MKVL") for i in range(3)]
+
+
+def test_fastq_cut_off(spark, tmp_path):
+    (tmp_path / "x.fastq").write_text("@a\nAC\n+\nII\n\n@b d\nACGT\n+\nIIII")
+    assert [(r.sequence_id, r.seq) for r in Q.read_fastq(spark, str(tmp_path / "x.fastq")).collect()] == [("a", "AC"), ("b", "ACGT")]
+    (tmp_path / "y.fastq").write_text("@a\nAC\n+\nII\n@b\nACGT\n+\n")
+    with pytest.raises(Exception, match="cut off"):
+        Q.read_fastq(spark, str(tmp_path / "y.fastq")).collect()
+
+
+def test_fastq_rate(spark, tmp_path):
+    """Without Spark, the reader's own loop over records of 250 bases."""
+    import time
+
+    from estuarine.sources.fastq import FastqReader, _Range
+
+    text = "".join(f"@r{i} d\n{'ACGTACGTAC' * 25}\n+\n{'I' * 250}\n" for i in range(60_000))
+    (tmp_path / "x.fastq").write_text(text)
+    path = "file://" + str(tmp_path / "x.fastq")
+    begun = time.process_time()
+    n = sum(len(b) for b in FastqReader({"path": path}).read(_Range(path, 0, len(text))))
+    assert n == 60_000 and len(text) / 1e6 / (time.process_time() - begun) > 30
+
+
+def test_hits_keep_their_order(spark, tmp_path):
+    from estuarine.operators.assign import best_hit
+
+    line = "{}\t{}\t{}" + "\t1" * 10 + "\tt\n"
+    (tmp_path / "h.tsv").write_text("".join(line.format("q", f"s{i}", 99.0 if i >= 2 else 98.0) for i in range(6)))
+    hits = T.read_hits(spark, str(tmp_path / "h.tsv"))
+    assert best_hit(hits).first().subject_id == "s2" and best_hit(hits, mode="first").first().subject_id == "s0"
+
+
+def test_tree_paths_of_any_depth(spark):
+    deep = spark.createDataFrame([(i, max(i - 1, 1), "no rank", f"n{i}") for i in range(1, 301)], "taxid long, parent long, rank string, name string")
+    path = tree_paths(deep).filter("taxid = 300").first().path
+    assert [x.taxid for x in path] == list(range(300, 0, -1))
+    ring = spark.createDataFrame([(1, 3, "x", "a"), (2, 1, "x", "b"), (3, 2, "x", "c"), (4, 1, "x", "d")], "taxid long, parent long, rank string, name string")
+    with pytest.raises(ValueError, match="cycle"):
+        tree_paths(ring)
+
+
+def test_streams_restart(spark, tmp_path):
+    """A new object and a new run on the same folders go on; nothing is lost or taken twice."""
+    root, ck = str(tmp_path / "t"), str(tmp_path / "ck")
+    schema = "organism_id long, detection_count long, first_detected timestamp, last_updated timestamp, kind string"
+    make = lambda rows: spark.createDataFrame(rows, "organism_id long, created_at string, kind string").withColumn("created_at", F.to_timestamp("created_at"))
+    folder = str(tmp_path / "in")
+    for i, rows in enumerate([[(1, "2024-01-01 00:00:00", "a"), (2, "2024-01-02 00:00:00", "b")], [(1, "2024-01-03 00:00:00", "c"), (3, "2024-01-01 00:00:00", "d")]]):
+        make(rows).coalesce(1).write.parquet(f"{folder}/b{i}")
+        stream = spark.readStream.schema(make(rows).schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+        ST.upsert_stream(stream, ST.ProfileTable(spark, root, schema, buckets=4), ck)
+    table = ST.ProfileTable(spark, root, schema, buckets=4)
+    table.merge(table.read(), 0)  # a batch delivered again
+    assert {r.organism_id: (r.detection_count, r.kind) for r in table.read().collect()} == {1: (2, "c"), 2: (1, "b"), 3: (1, "d")}
+
+
+def test_vectors_are_appended_once(spark, tmp_path):
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for i, ids in enumerate([[1, 2, 2], [2, 3], [1, 4]]):
+        spark.createDataFrame([("d", "r", v) for v in ids], "dataset string, run_id string, vec_id long").coalesce(1).write.parquet(f"{folder}/b{i}")
+        stream = spark.readStream.schema("dataset string, run_id string, vec_id long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+        ST.append_vectors(stream, store, str(tmp_path / "ck"))
+    assert sorted(r.vec_id for r in spark.read.parquet(store).collect()) == [1, 2, 3, 4]
+
+
+def test_open_days_are_there(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", 1.0, 1), ("2024-01-02 10:00:00", 3.0, 1), ("2024-01-02 11:00:00", 5.0, 2)], "ts string, v double, u int").withColumn("ts", F.to_timestamp("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ST.run_updates(ST.daily_trend(stream, "ts", "v", "u"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {str(r.day): (r.n, r.avg_value) for r in ST.read_updates(spark, str(tmp_path / "out"), "day").collect()}
+    assert got == {"2024-01-01": (1, 1.0), "2024-01-02": (2, 4.0)}
