@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside once the block is left.
+
+    Operators are lazy and read these tables until their results are written, so the writing
+    has to happen inside the block.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store(df: DataFrame) -> str:
     """Write `df` to the shared folder; returns the path."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return path
 
