@@ -54,8 +54,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float,
     the raw one with a weight of `prior` counts per bucket, so a bucket that the target never
     shows and the raw corpus hardly shows says little. The list has `buckets` numbers.
     """
+    # the trusted ids grow with the corpus: they are never broadcast, whatever their size here
     ids = trusted.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id", "left_semi")
+    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids.hint("merge"), "__id", "left_semi")
     raw = _counts(F.col(text_col), docs, buckets, "raw")
     target = _counts(F.col("__text"), chosen, buckets, "target")
     both = raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
