@@ -198,7 +198,8 @@ def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block
 
     Spans are (begin, end) bytes to remove, sorted, not touching.
     """
-    shared = _occurrences(texts, length, True).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    # both tables that the places are joined to are written first, so that Spark can split a common anchor's rows
+    shared = materialize(_occurrences(texts, length, True).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
     places = materialize(_occurrences(texts, length, False).join(shared, "anchor", "left_semi"))
     classes = places.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "start", "size")).alias("at"))
     classes = materialize(classes.select("anchor", "name", "weight", "at.*"))
@@ -216,7 +217,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block
         # windows of one shard are one row by now; those that other shards have too
         often = named.groupBy("window").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("shards")).filter("shards > 1").select("window")
         runs = runs.union(named.join(often, "window", "left_semi").select("anchor", "name", "begin", "end"))
-    spans = runs.groupBy("anchor", "name").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    spans = materialize(runs.groupBy("anchor", "name").agg(F.collect_list(F.struct("begin", "end")).alias("runs")))
     hit = places.join(spans, ["anchor", "name"]).select("key", "start", F.explode("runs").alias("r"))
     return hit.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("r.begin")).alias("begin"), (F.col("start") + F.col("r.end") - 1 + length).alias("end"))).alias("spans"))
 
