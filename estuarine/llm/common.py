@@ -54,3 +54,16 @@ def ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, np.int64)
     at = starts(lengths)
     return np.repeat(np.asarray(first, np.int64) - at[:-1], lengths) + np.arange(at[-1])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[list[tuple]]:
+    """Consecutive rows with equal first `keys` columns, cut after `most` rows."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (row[:keys] != held[0][:keys] or len(held) == most):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held

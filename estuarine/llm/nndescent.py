@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from estuarine.llm.common import grouped
 from estuarine.llm.unionfind import components
 from estuarine.session import materialize
 
@@ -51,19 +52,6 @@ def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
     return rows, materialize(folded), kind
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[list[tuple]]:
-    """Consecutive rows with equal first `keys` columns, cut after `most` rows."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (row[:keys] != held[0][:keys] or len(held) == most):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def _edges(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int = 200_000) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
 
@@ -109,7 +97,7 @@ def start(nodes: DataFrame, kind: str, k: int, orders: int) -> DataFrame:
 
     def blocks(batches):
         def found():
-            for rows in _grouped(batches, 2, BLOCK):
+            for rows in grouped(batches, 2, BLOCK):
                 if len(rows) > 1:
                     yield _best(np.array([x[2] for x in rows]), unit([x[3] for x in rows], kind), k)
 
@@ -136,7 +124,7 @@ def refine(edges: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame:
 
     def run(batches):
         def found():
-            for got in _grouped(batches, 1):
+            for got in grouped(batches, 1):
                 if len(got) > 1:
                     ids, bars = np.array([x[1] for x in got]), np.array([x[3] for x in got])
                     a, b, sim = _best(ids, unit([x[2] for x in got], kind), k)
@@ -175,7 +163,7 @@ def group_links(groups: DataFrame, kind: str, threshold: float) -> DataFrame:
     dealt = dealt.select("comp", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "node", "w", "vec")
 
     def run(batches):
-        for rows in _grouped(batches, 3):
+        for rows in grouped(batches, 3):
             ids, w = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
             side = np.array([r[3] for r in rows])
             x = unit([r[6] for r in rows], kind)
