@@ -65,7 +65,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "node long, set binary")
+    # the nodes grow with the corpus: they are never broadcast, whatever their number here
+    return rows.join(nodes.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "node long, set binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
