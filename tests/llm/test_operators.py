@@ -305,7 +305,7 @@ def test_lines(documents, texts):
 
 
 def test_lines_edges(spark, edges, empty):
-    far = "The quick brown fox jumps over the lazy dog while many other animals watch it from the green hill and wonder about the weather"
+    far = "The quick brown fox jumps over the lazy dog while many other animals watch it from the green hill and wonder about the weather, which had been warm and dry for several weeks until yesterday when heavy rain fell over all of the valley"
     docs = spark.createDataFrame([(1, f"{far}\n\nOwn line of one.\n{far}", "x"), (2, far.replace("lazy", "sleepy"), "x"), (3, f"Other things stand here.\n{far}!", "x"), (4, None, "x"), (5, "", "x"), (None, far, "x")], "doc_id long, text string, id string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedupe_lines(docs).collect()}
     assert got == {1: f"{far}\n\nOwn line of one.", 3: "Other things stand here.", 4: None, 5: ""}
