@@ -48,7 +48,7 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = linededup.line_components(table(spark, sf_dir, "documents"))
+    marks = linededup.line_components(table(spark, sf_dir, "documents"), every=True)
     return marks.select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("line_no"), F.col("name").alias("line_hash"), "component", "kept")
 
 

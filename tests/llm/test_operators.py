@@ -1,6 +1,7 @@
 """The training-data operators against libraries and brute force."""
 
 import hashlib
+import itertools
 import html
 import math
 import os
@@ -314,6 +315,30 @@ def test_lines_edges(spark, edges, empty):
     assert linededup.dedupe_lines(empty).count() == 0
 
 
+def test_lines_without_blanks(spark):
+    """Characters after the 12th of a word count as all others do."""
+    rng = np.random.default_rng(4)
+    tail = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    same, link = tail(120), "https://www.example.org/"
+    texts = [link + "a-first-page-about-rivers", link + "quite-another-thing/2024/index.html", "水文观测记录一二三四五六" + tail(80), "水文观测记录一二三四五六" + tail(80), same, tail(6) + same]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in linededup.dedupe_lines(docs, every=True).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_lines_at_every_character(documents, texts):
+    got = {(r["id"], r["pos"]): r["component"] for r in linededup.line_components(documents, every=True).collect()}
+    lines = {(i, k): x for i, t in texts.items() for k, y in enumerate((t or "").split("\n")) if (x := re.sub(r"[\x20\x09-\x0D]+", " ", y).strip(" "))}
+    sets = {x: frozenset(x.lower()[i : i + 12] for i in range(max(1, len(x.lower()) - 11))) for x in set(lines.values())}
+    names = sorted(sets, key=lambda x: len(sets[x]))
+    pairs = [(a, b) for i, a in enumerate(names) for b in itertools.takewhile(lambda b: 0.8 * len(sets[b]) <= len(sets[a]), names[i + 1 :]) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = helpers.roots(names, pairs)
+    found = defaultdict(set)
+    for k, x in lines.items():
+        found[got[k]].add(root[x])
+    assert set(got) == set(lines) and all(len(g) == 1 for g in found.values())
+    assert len(set(root.values())) <= len(found) <= len(set(root.values())) + max(1, len(pairs) // 20)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(1, 300)] + [tuple(map(int, p)) for p in rng.integers(400, 700, (200, 2))] + [(1000, i) for i in range(1001, 1200)]
