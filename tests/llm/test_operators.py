@@ -339,6 +339,29 @@ def test_lines_at_every_character(documents, texts):
     assert len(set(root.values())) <= len(found) <= len(set(root.values())) + max(1, len(pairs) // 20)
 
 
+def chained_lines():
+    """Chains of three lines: neighbours at about 0.87, the ends at about 0.76."""
+    rng = np.random.default_rng(9)
+    out = []
+    for _ in range(60):
+        one = "".join(map(chr, rng.integers(0x4E00, 0x9000, 191)))
+        two = one[13:] + "".join(map(chr, rng.integers(0x4E00, 0x9000, 13)))
+        out.append((one, two, two[13:] + "".join(map(chr, rng.integers(0x4E00, 0x9000, 13)))))
+    return out
+
+
+def test_lines_in_chains(spark):
+    """Links between two lines of a band count, also if neither is its smallest line."""
+    chains = chained_lines()
+    docs = spark.createDataFrame([(3 * i + k, x) for i, c in enumerate(chains) for k, x in enumerate(c)], "doc_id long, text string")
+    got = {r["id"]: r for r in linededup.line_components(docs, every=True).collect()}
+    sigs = dict(docs.select("doc_id", F.slice(linededup.shingle_hashes(F.col("text")), 1, 4)).collect())
+    share = lambda a, b: len(set(sigs[a]) & set(sigs[b])) >= 2
+    for i in range(0, 3 * len(chains), 3):
+        want = helpers.roots([i, i + 1, i + 2], [p for p in ((i, i + 1), (i + 1, i + 2)) if share(*p)])
+        assert [got[i + k]["component"] for k in range(3)] == [min(got[j]["name"] for j in want if want[j] == want[i + k]) for k in range(3)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(1, 300)] + [tuple(map(int, p)) for p in rng.integers(400, 700, (200, 2))] + [(1000, i) for i in range(1001, 1200)]
