@@ -37,14 +37,14 @@ def _key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def shingled(docs: DataFrame, coordinates: int, id_col: str, text_col: str) -> DataFrame:
+def shingled(docs: DataFrame, coordinates: int, id_col: str, text_col: str, length: int = 2) -> DataFrame:
     """(id, n, key, sig): set size, a 128-bit name of the set, its signature."""
 
     def run(batches):
         hasher, signer = WordHasher(), Signatures(coordinates)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = hasher.shingle_sets(strings(part, "text"))
+                sets = hasher.shingle_sets(strings(part, "text"), length)
                 ids = part.column(0)
                 keys = [_key(s) if len(s) else b"-%d" % i for s, i in zip(sets, ids.to_pylist(), strict=True)]
                 sigs = [signer.of(s) if len(s) else np.zeros(0, np.int32) for s in sets]
@@ -54,14 +54,14 @@ def shingled(docs: DataFrame, coordinates: int, id_col: str, text_col: str) -> D
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, key binary, sig array<int>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(node, set) for the given nodes, read again from their texts."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = hasher.shingle_sets(strings(part, "text"))
+                sets = hasher.shingle_sets(strings(part, "text"), length)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -146,12 +146,12 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, coordinates: int = 32, matches: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 80, coordinates: int = 32, matches: int = 16, id_col: str = "doc_id", text_col: str = "text", length: int = 2
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`.
 
-    Two documents are linked if 100 * intersection >= percent * union of their sets of two-word
-    shingles. `component_id` is the smallest id reachable over links. With 32 coordinates a pair at
+    Two documents are linked if 100 * intersection >= percent * union of their sets of shingles
+    of `length` words. `component_id` is the smallest id reachable over links. With 32 coordinates a pair at
     80 % has 16 or more in common with a chance over 0.9999; found pairs are confirmed on whole sets.
 
     Null and empty texts, and texts without words, have no shingles and no links: each is a
@@ -160,7 +160,7 @@ def near_duplicates(
     table gives no rows. Ids are long integers; rows with one id are taken for one document.
     """
     named = docs.filter(F.col(id_col).isNotNull())
-    rows = materialize(shingled(named, coordinates, id_col, text_col))
+    rows = materialize(shingled(named, coordinates, id_col, text_col, length))
     classes = materialize(rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("node"), F.first("sig").alias("sig")))
     posted = classes.select("node", "sig", F.posexplode("sig").alias("c", "v")).select("node", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("value"))
     # written first, so that the join can split the rows of a common value
@@ -190,7 +190,7 @@ def near_duplicates(
     loose = components(nodes, spokes.select("a", "b").union(stray))
 
     groups = loose.join(loose.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "component")
-    sets = materialize(_sets(named, groups.select(F.col("id").alias("node")), id_col, text_col))
+    sets = materialize(_sets(named, groups.select(F.col("id").alias("node")), id_col, text_col, length))
     best = spokes.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     links = materialize(_similar(best, sets, percent))
     firm = components(groups.select("id"), links)
@@ -204,6 +204,6 @@ def near_duplicates(
     found = classes.select("key", "node").join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "key").join(found, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     out = out.withColumn("kept", F.col(id_col) == F.col("component_id"))
-    nameless = shingled(docs.filter(F.col(id_col).isNull()).withColumn(id_col, F.lit(0).cast("long")), coordinates, id_col, text_col)
+    nameless = shingled(docs.filter(F.col(id_col).isNull()).withColumn(id_col, F.lit(0).cast("long")), coordinates, id_col, text_col, length)
     none = F.lit(None).cast("long")
     return out.unionByName(nameless.select(none.alias(id_col), F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(True).alias("kept")))

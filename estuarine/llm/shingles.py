@@ -49,15 +49,21 @@ class WordHasher:
         bounds = starts(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         return hashes, np.diff(np.searchsorted(first, bounds))
 
-    def shingle_sets(self, texts: list[str]) -> list[np.ndarray]:
-        """The sorted distinct two-word shingles of each text; a lone word stands for itself."""
+    def shingle_sets(self, texts: list[str], length: int = 2) -> list[np.ndarray]:
+        """The sorted distinct shingles of `length` words of each text; fewer words are one shingle."""
         words, counts = self.words([t.encode() for t in texts])
-        pairs = mix(words[:-1] * self.pair + words[1:]) if len(words) else words
+        # runs[k]: hashes of k + 1 words from each word on
+        runs = [words]
+        for k in range(1, length):
+            runs.append(mix(runs[-1][:-1] * self.pair + words[k:]) if len(words) > k else words[:0])
         alone = mix(words * self.pair + U(1))
         at = starts(counts).tolist()
         out = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            out.append(np.unique(pairs[a : b - 1]) if b - a > 1 else alone[a:b])
+            if b - a >= length:
+                out.append(np.unique(runs[length - 1][a : b - length + 1]))
+            else:
+                out.append(runs[b - a - 1][a : a + 1] if b - a > 1 else alone[a:b])
         return out
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import numpy as np
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from estuarine.session import materialize
@@ -38,6 +40,21 @@ def test_stages(spark):
     assert {r["sequence_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["sequence_id"] for r in rows}
 
 
+def test_minhash_takes_five_words(spark):
+    """Documents alike by two-word shingles but not by five-word ones stay."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(100)]
+    edited = lambda at: " ".join("new%d" % i if i in at else w for i, w in enumerate(words))
+    texts = [" ".join(words), edited({10, 30, 50, 70, 90}), edited({55}), "one two three", "one two three", "one two"]
+    texts += [" ".join(f"v{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    five = lambda t: frozenset(tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4)))
+    sets = list(map(five, texts))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = helpers.roots(range(len(sets)), pairs)
+    got = corpus_pipeline.minhash(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
+    assert {r["doc_id"] for r in got.collect()} == set(want.values()) and want[1] == 1 and want[2] == 0
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
