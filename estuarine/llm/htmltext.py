@@ -34,6 +34,11 @@ FURNITURE = re.compile(
     r"newsletter|notices?|pagination|pager|popup|promo|promoted|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsored|sponsor|subscribe|subscription|tags|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Where a loose match would hit text, a whole class name has to consist of such words and of what they are made into.
+PARTS = re.compile(r"[\s_-]+")
+MADE = frozenset("area bar block body box button buttons container content form icons inner item items links list post posts section title wrap wrapper".split())
+COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 ROLE = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: These end an open paragraph, list item, cell and so on, as browsers do.
@@ -42,17 +47,29 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Node:
-    __slots__ = ("tag", "up", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "sum", "doubt")
 
     def __init__(self, tag: str, up: Node | None, dropped: bool = False):
         self.tag, self.up, self.dropped = tag, up, dropped
+        self.doubt = False
         self.children: list = []  # nodes and texts in page order
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def furniture(tag: str, attributes: str, within: bool) -> bool:
-    """Whether a container is page furniture; `within`: it lies inside an article or main."""
+def whole(name: str) -> bool:
+    """Whether a class name says nothing but page furniture."""
+    parts = PARTS.split(name.lower())
+    return any(map(FURNITURE.fullmatch, parts)) and all(x in MADE or FURNITURE.fullmatch(x) for x in parts)
+
+
+def furniture(tag: str, attributes: str, within: bool) -> bool | None:
+    """Whether a container is page furniture; `within`: it lies inside an article or main.
+
+    None: it is, unless it is dense in text. Inside an article, and for headings, paragraphs and
+    sections, only whole class names and roles count; an id alone never drops dense text.
+    """
+    doubt: bool | None = False
     if tag in DROPPED and not (within and tag == "header"):
         return True
     if tag in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
@@ -60,11 +77,30 @@ def furniture(tag: str, attributes: str, within: bool) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         names = [x for x in value.split() if not x.lower().startswith(("no-", "has-", "with-", "without-"))]
-        if name in ("class", "id") and any(map(FURNITURE.search, names)) or name == "role" and value.lower() in ROLE:
-            return True
+        strict = within or tag in TEXTUAL
+        if name == "class" and any(map(whole if strict else FURNITURE.search, names)) or name == "role" and value.lower() in ROLE:
+            if not strict or name == "class" and any(whole(x) and COMMENTS.search(x) for x in names):
+                return True
+            doubt = None
+        if name == "id" and tag not in TEXTUAL and any(map(FURNITURE.search, names)):
+            doubt = None
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return bool(re.search(r"\shidden(?:\s|$)", re.sub(r"""("[^"]*"|'[^']*')""", "", attributes)))
+    return bool(re.search(r"\shidden(?:\s|$)", re.sub(r"""("[^"]*"|'[^']*')""", "", attributes))) or doubt
+
+
+def settle(root: Node) -> None:
+    """Drop the doubtful containers with few characters a tag or many in links, inner ones first."""
+    nodes = order(root)
+    if not any(x.doubt for x in nodes):
+        return
+    sizes: dict[int, tuple[int, int, int]] = {}
+    for node in reversed(nodes):
+        chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        inner = [sizes[id(x)] for x in node.children if isinstance(x, Node) and not x.dropped]
+        chars, links, tags = (n + sum(x[i] for x in inner) for i, n in enumerate((chars, 0, 1)))
+        sizes[id(node)] = chars, chars if node.tag == "a" else links, tags
+        node.dropped = node.doubt and (chars < 20 * tags or 3 * links > chars)
 
 
 def parse(page: str) -> Node:
@@ -111,13 +147,16 @@ def parse(page: str) -> Node:
             close(node)
         if tag in CLOSES and (node := find(CLOSES[tag], SCOPE[tag])):
             close(node)
-        node = Node(tag, at, furniture(tag, m[4] or "", within > 0))
+        verdict = furniture(tag, m[4] or "", within > 0)
+        node = Node(tag, at, verdict is True)
+        node.doubt = verdict is None
         at.children.append(node)
         if tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
             at = node
             within += tag in ("article", "main")
     if last < len(page):
         at.children.append(page[last:])
+    settle(root)
     return root
 
 

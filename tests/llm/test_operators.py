@@ -236,6 +236,12 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag, name", [("section", "id='social-structure'"), ("section", "id='related-work'"), ("div", "id='header-files'"), ("div", "class='social-structure'"), ("p", "id='notice-of-change'")])
+def test_main_text_keeps_slugs(tag, name):
+    words = "Groups of the species live together and share their food over the whole of the year."
+    assert htmltext.main_text(f"<article><h2 id='navigation-and-trade'>Trade</h2><p>{words}</p><{tag} {name}>{words}</{tag}><div class='share-buttons'><a href=x>Send it</a></div></article>") == f"Trade {words} {words}"
+
+
 def test_main_text_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<article><p>Text</p></article>")], "page_id long, url string, html string")
     assert rows_of(htmltext.extract(pages), "page_id", "url", "text", "n_chars") == sorted([(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (None, "v", "Text", 4)], key=repr)
