@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estuarine.llm import htmltext, linededup, lm, neardup, nndescent, packing, qualityrules, sentencepieces, suffixdedup, tokencounts
+from estuarine.llm import htmltext, linededup, lm, neardup, nndescent, packing, periodicruns, qualityrules, sentencepieces, suffixdedup, tokencounts
 from estuarine.llm.common import tokenizer_path
 from estuarine.llm.registry import query
 
@@ -65,3 +65,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array")
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedupe(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicruns.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
