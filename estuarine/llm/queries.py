@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estuarine.llm import dialogues, htmltext, linededup, lm, neardup, nndescent, packing, periodicruns, qualityrules, sentencepieces, suffixdedup, tokencounts
+from estuarine.llm import dialogues, htmltext, kmeanstree, linededup, lm, neardup, nndescent, packing, periodicruns, qualityrules, sentencepieces, suffixdedup, tokencounts
 from estuarine.llm.common import tokenizer_path
 from estuarine.llm.registry import query
 
@@ -67,6 +67,11 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedupe(table(spark, sf_dir, "documents"))
 
 
+@query("op11_nearest_vectors")
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeanstree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     hurt = dialogues.damage(table(spark, sf_dir, "conversations"))
