@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estuarine.operators import clustering as C
+from estuarine.operators import hierarchy as H
 from estuarine.operators import novelty as N
 from estuarine.operators.vectors import cluster_stats
 from estuarine.queries import query
@@ -62,6 +63,29 @@ def _(v):
     return C.dbscan_star(v.vectors, EPS, MIN_SAMPLES, 20)
 
 
+@query(
+    "reachability_tree",
+    f"""WITH RECURSIVE {DV}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.e,b.e),9) AS d FROM dv a, dv b),
+    core AS (SELECT a, d AS c FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS k FROM p) WHERE k=6),
+    n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM dv),
+    m AS (SELECT x.i AS i, list(greatest(d,ca.c,cb.c) ORDER BY y.i) AS row FROM p JOIN core ca ON ca.a=p.a JOIN core cb ON cb.a=p.b JOIN n x ON x.vec_id=p.a JOIN n y ON y.vec_id=p.b GROUP BY 1),
+    t AS (SELECT 0 AS edges, 0.0::DOUBLE AS total, 0.0::DOUBLE AS longest, list_transform(row, lambda x, k: CASE WHEN k=1 THEN NULL ELSE x END) AS far FROM m WHERE i=1
+      UNION ALL SELECT edges+1, total+list_min(far), greatest(longest, list_min(far)), list_transform(list_zip(far, m.row), lambda x, k: CASE WHEN x[1] IS NULL OR k=m.i THEN NULL ELSE least(x[1], x[2]) END)
+      FROM t JOIN m ON m.i=list_position(far, list_min(far)) WHERE list_min(far) IS NOT NULL)
+    SELECT edges::BIGINT AS edges, round(total,6) AS total, round(longest,6) AS longest FROM t ORDER BY edges DESC LIMIT 1""",
+    "vectors",
+)
+def _(v):
+    _, points = H.folded(v.vectors, "vec_id")
+    _, tree = H.reachability_tree(points, 5)
+    return rounded(tree.agg(F.count("w").alias("edges"), F.sum("w").alias("total"), F.max("w").alias("longest")), "total", "longest")
+
+
+@query("hdbscan")
+def _(v):
+    return rounded(H.hdbscan(v.vectors, 10, 5), "probability", "outlier_score", "persistence")
+
+
 KNN = """pr AS (SELECT a.vec_id AS q, b.vec_id AS r, b.label AS lb, list_distance(a.e,b.e) AS d FROM dv a JOIN dv b ON b.label<8),
     rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d,9), r) AS k FROM pr)"""
 
