@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estuarine.functions.mathx import first_match, ratio
+from estuarine.functions.adapters import without_adapters
 from estuarine.functions.sequences import (
     MARKER_GENES,
     exact_base_rank,
@@ -125,25 +126,40 @@ def quality_cut(qual: Column, cutoff: int = 20) -> Column:
     return F.aggregate(F.reverse(qual), start, walk, lambda acc: acc["keep"])
 
 
-def trim_adapters(
-    reads: DataFrame, adapters: list[str] | None = None, min_len: int = 50, passes: int = 2
+def trimmed(
+    reads: DataFrame, adapters: list[str] | None = None, passes: int = 2, error_rate: float = 0.1, min_overlap: int = 3
 ) -> DataFrame:
-    """3' quality cut where qualities exist, then up to `passes` adapter removals; short reads go."""
-    pattern = adapter_pattern(adapters or ADAPTERS)
+    """All reads after the 3' quality cut, where qualities exist, and up to `passes` adapter removals.
+
+    A removal cuts at the best match with at most `error_rate` edits per adapter base; with an `error_rate` of 0, at the first
+    whole adapter or longest ending.
+    """
+    adapters = adapters or ADAPTERS
     out = reads
     if _has_qual(reads):
         out = out.withColumn("__keep", quality_cut(F.col("qual"))).withColumn(
             "seq", F.col("seq").substr(F.lit(1), F.col("__keep"))
         )
     seq = F.col("seq")
-    for _ in range(passes):
-        seq = F.regexp_replace(seq, pattern, "")
-    out = out.withColumn("seq", seq).filter(F.length("seq") >= min_len)
+    if error_rate:
+        seq = seq.substr(F.lit(1), without_adapters(seq, adapters, error_rate, min_overlap, passes))
+    else:
+        pattern = adapter_pattern(adapters, min_overlap)
+        for _ in range(passes):
+            seq = F.regexp_replace(seq, pattern, "")
+    out = out.withColumn("seq", seq)
     if _has_qual(reads):
         out = out.withColumn("qual", F.slice("qual", F.lit(1), F.length("seq"))).drop("__keep")
     return out
 
 
+def trim_adapters(
+    reads: DataFrame, adapters: list[str] | None = None, min_len: int = 50, passes: int = 2, error_rate: float = 0.1
+) -> DataFrame:
+    """Reads as `trimmed`, without those that are shorter than `min_len` then."""
+    return trimmed(reads, adapters, passes, error_rate).filter(F.length("seq") >= min_len)
+
+
 def dedupe_reads(
     reads: DataFrame, order: str = "sequence_id", min_len: int = 60, max_n: float = 0.1
 ) -> DataFrame:
@@ -445,12 +461,13 @@ def encode_kmers(reads: DataFrame, k: int, max_len: int, key: str = "sequence_id
     )
 
 
-def preprocess_steps(reads: DataFrame, by: str = "sample_id", **limits: float) -> DataFrame:
-    """Reads left after each cleaning step per source."""
-    trimmed = trim_adapters(reads)
-    kept = quality_filter(trimmed, **limits)
-    count = lambda df, name: df.groupBy(by).agg(F.count(F.lit(1)).alias(name))
-    out = count(reads, "input_reads").join(count(trimmed, "after_trimming"), by, "left")
-    out = out.join(count(kept, "after_quality"), by, "left").na.fill(0)
+def preprocess_steps(reads: DataFrame, by: str = "sample_id", min_len: int = 50, error_rate: float = 0.1, **limits: float) -> DataFrame:
+    """Reads left after trimming and quality filter per source; each read is trimmed and judged once."""
+    cut = trimmed(reads, error_rate=error_rate)
+    long_ = F.coalesce(F.length("seq") >= min_len, F.lit(False))
+    tests = _criteria(cut, **{"min_len": MIN_LENGTH, "max_len": MAX_LENGTH, "quality": QUALITY, "max_n": MAX_N, **limits})
+    good = F.coalesce(long_ & tests["length"] & tests["n"] & tests["quality"], F.lit(False))
+    out = cut.groupBy(by).agg(
+        F.count(F.lit(1)).alias("input_reads"), F.count_if(long_).alias("after_trimming"), F.count_if(good).alias("after_quality")
+    )
     return out.withColumn("kept_share", ratio(F.col("after_quality"), F.col("input_reads"), 0.0))
-

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from estuarine.functions import sequences as S
 from estuarine.functions.mathx import rnd
+from estuarine.operators import chimeras as H
 from estuarine.operators import reads as R
 from estuarine.plans.profile import profile_dataset
 from estuarine.queries import query
+from estuarine.queries.assignment import half_sql
 from estuarine.queries.diversity import rounded
 from estuarine.session import spread
 
@@ -77,7 +79,7 @@ TRIM_SQL = f"""cut AS (
 )
 def _(v):
     total = F.aggregate("qual", F.lit(0).cast("long"), lambda a, x: a + x)
-    return R.trim_adapters(v.qreads).select(
+    return R.trim_adapters(v.qreads, error_rate=0).select(
         "sequence_id", F.length("seq").alias("len"), F.md5("seq").alias("seq_md5"), total.alias("qsum")
     )
 
@@ -91,7 +93,81 @@ def _(v):
     "qreads",
 )
 def _(v):
-    return rounded(R.preprocess_steps(v.qreads, **WIDE), "kept_share")
+    return rounded(R.preprocess_steps(v.qreads, error_rate=0, **WIDE), "kept_share")
+
+
+def removal_sql(name, source):
+    """`source` (sequence_id, seq) with the best adapter match and what follows it cut off, as CTEs that end in `name`."""
+    whole, ends = [], []
+    for a in R.ADAPTERS:
+        for w in range(len(a) - 1, len(a) + 2):
+            whole.append(f"SELECT sequence_id, i, {len(a)}-2*e AS score FROM (SELECT sequence_id, i, levenshtein(substr(seq,i,{w}),'{a}') AS e FROM {name}s WHERE i+{w - 1}<=length(seq)) WHERE e<=1")
+        for n in range(3, len(a)):
+            k = n // 10
+            for w in range(n - k, n + k + 1):
+                e = f"levenshtein(right(seq,{w}),'{a[:n]}')"
+                ends.append(f"SELECT sequence_id, length(seq)-{w - 1} AS i, {n}-2*{e} AS score FROM {source} WHERE length(seq)>={w} AND {e}<={k}")
+    return f"""{name}s AS (SELECT sequence_id, seq, unnest(range(1, length(seq)+1)) AS i FROM {source}),
+      {name}m AS ({" UNION ALL ".join(whole + ends)}),
+      {name}b AS (SELECT sequence_id, i FROM {name}m QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY score DESC, i)=1),
+      {name} AS (SELECT s.sequence_id, CASE WHEN i IS NULL THEN seq ELSE left(seq,(i-1)::INT) END AS seq FROM {source} s LEFT JOIN {name}b USING (sequence_id))"""
+
+
+TOLERANT_SQL = TRIM_SQL[: TRIM_SQL.index("trimmed AS")] + f"""raw AS (SELECT q.sequence_id, substr(seq,1,coalesce(keep,length(seq))::INT) AS seq FROM qreads q LEFT JOIN cut USING (sequence_id)),
+  {removal_sql('once', 'raw')}, {removal_sql('twice', 'once')},
+  kept AS (SELECT sequence_id, q.sample_id, t.seq, q.qual[1:length(t.seq)] AS qual FROM twice t JOIN qreads q USING (sequence_id) WHERE length(t.seq)>=50)"""
+
+
+@query(
+    "trim_adapters_errors",
+    f"WITH {TOLERANT_SQL} SELECT sequence_id, length(seq) AS len, md5(seq) AS seq_md5, list_sum(qual)::BIGINT AS qsum FROM kept",
+    "qreads",
+)
+def _(v):
+    total = F.aggregate("qual", F.lit(0).cast("long"), lambda a, x: a + x)
+    return R.trim_adapters(v.qreads).select(
+        "sequence_id", F.length("seq").alias("len"), F.md5("seq").alias("seq_md5"), total.alias("qsum")
+    )
+
+
+def breaks_sql(share, gain):
+    """CTEs after u (id, seq, size): c with the best pair of parents and breakpoint of each sequence that has one."""
+    parts = [f"substr(seq, (length(seq)*{i}//4+1)::INT, (length(seq)*{i + 1}//4-length(seq)*{i}//4)::INT)" for i in range(4)]
+    pieces = [half_sql(f"p{i}", x).replace("s>=.6", f"s>={share}") for i, x in enumerate(parts)]
+    return f"""pk AS (SELECT DISTINCT id, w FROM (SELECT id, substr(seq, unnest(range(1, length(seq)-6)), 8) AS w FROM u) WHERE NOT contains(w,'N')),
+      {", ".join(pieces)}, cand AS ({" UNION ".join(f"FROM p{i}b" for i in range(4))}),
+      pos AS (SELECT id, w, row_number() OVER (PARTITION BY id ORDER BY o) AS i, count(*) OVER (PARTITION BY id) AS n
+        FROM (SELECT id, unnest(range(1, length(seq)-6)) AS o, substr(seq, unnest(range(1, length(seq)-6)), 8) AS w FROM u WHERE id IN (SELECT id FROM cand)) WHERE NOT contains(w,'N')),
+      vote AS (SELECT p.id, r, i, n, (k.w IS NOT NULL)::INT AS v FROM pos p JOIN cand USING (id) LEFT JOIN pk k ON k.id=r AND k.w=p.w),
+      run AS (SELECT *, sum(v) OVER (PARTITION BY id, r ORDER BY i) AS p, sum(v) OVER (PARTITION BY id, r) AS t FROM vote),
+      c AS (SELECT a.id, a.r AS left_parent, b.r AS right_parent, a.i AS breakpoint, a.p+b.t-b.p AS votes, max(greatest(a.t,b.t)) OVER (PARTITION BY a.id) AS single_votes, a.n FROM run a JOIN run b ON a.id=b.id AND a.i=b.i AND a.r<>b.r
+        WHERE a.i<a.n QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY votes DESC, a.r, b.r, a.i)=1),
+      flagged AS (SELECT u.id AS sequence_id, size, left_parent, right_parent, breakpoint, votes::BIGINT AS votes, single_votes::BIGINT AS single_votes,
+        coalesce(votes-single_votes>=greatest({gain}*n-1e-9,1),false) AS is_chimera FROM u LEFT JOIN c ON c.id=u.id)"""
+
+
+@query(
+    "breakpoint_chimeras",
+    f"WITH u AS (SELECT seq, min(sequence_id) AS id, count(*) AS size FROM reads WHERE length(seq)>=16 GROUP BY 1), {breaks_sql(0.3, 0.02)} FROM flagged",
+    "reads",
+)
+def _(v):
+    return H.breakpoint_screen(v.reads, min_share=0.3, min_gain=0.02)
+
+
+@query(
+    "preprocess_report",
+    f"""WITH {TOLERANT_SQL}, good AS (SELECT sequence_id, sample_id, seq FROM kept WHERE {PASS}),
+      u AS (SELECT seq, min(sequence_id) AS id, count(*) AS size FROM good WHERE length(seq)>=16 GROUP BY 1), {breaks_sql(0.3, 0.02)},
+      bad AS (SELECT seq FROM u JOIN flagged ON sequence_id=id WHERE is_chimera),
+      n AS (SELECT sample_id, count(*) AS input_reads FROM qreads GROUP BY 1), k AS (SELECT sample_id, count(*) AS t FROM kept GROUP BY 1),
+      g AS (SELECT sample_id, count(*) AS q, count(*) FILTER (seq NOT IN (FROM bad)) AS c FROM good GROUP BY 1)
+    SELECT sample_id, input_reads, coalesce(t,0) AS after_trimming, coalesce(q,0) AS after_quality, coalesce(c,0) AS after_chimeras,
+      round(coalesce(c,0)*1.0::DOUBLE/input_reads,6) AS kept_share FROM n LEFT JOIN k USING (sample_id) LEFT JOIN g USING (sample_id)""",
+    "qreads",
+)
+def _(v):
+    return rounded(H.preprocess_report(v.qreads, screen={"min_share": 0.3, "min_gain": 0.02}, **WIDE), "kept_share")
 
 
 @query(
