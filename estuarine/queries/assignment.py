@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estuarine.functions.mathx import rnd
+from estuarine.operators import alignments as L
 from estuarine.operators import assign as A
 from estuarine.operators import kmersearch as K
 from estuarine.operators.vectors import knn_join
@@ -34,6 +35,18 @@ def _(v):
     return rounded(K.kmer_search(passages(v), v.reads.select("sequence_id", "seq")), "share")
 
 
+@query("aligned_hits")
+def _(v):
+    found = L.aligned_hits(passages(v), v.reads.select("sequence_id", "seq", "organism"), title=F.col("organism"))
+    return rounded(found.drop("title", "evalue"), "identity", "coverage", "bit_score")
+
+
+@query("aligned_assignments")
+def _(v):
+    found = L.aligned_hits(passages(v), v.reads.select("sequence_id", "seq", "description"), title=F.col("description"))
+    return rounded(A.hits_to_assignments(A.best_hit(found), passages(v)).drop("evalue"), "identity", "coverage")
+
+
 def half_sql(name, expr):
     return f"""{name}k AS (SELECT DISTINCT id, w FROM (SELECT id, substr(h, unnest(range(1, length(h)-6)), 8) AS w FROM (SELECT id, {expr} AS h FROM u) WHERE length(h)>=8) WHERE NOT contains(w,'N')),
       {name}n AS (SELECT id, count(*) AS n FROM {name}k GROUP BY 1),
