@@ -53,6 +53,24 @@ def kmers(seq: Column, k: int, clean: bool = True) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=({letter}{{{k}}}))"), F.lit(1))
 
 
+#: Windows that a long sequence is cut into before its k-mers are taken.
+WINDOW = 65_536
+
+
+def kmer_windows(seq: Column, k: int, size: int | None = None) -> Column:
+    """Stretches of `size` + k - 1 bases that overlap by k - 1: each k-mer of `seq` is in exactly one of them."""
+    size = size or WINDOW
+    last = F.greatest(F.length(seq) - k, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last, F.lit(size)), lambda i: F.substring(seq, i + 1, F.lit(size + k - 1)))
+
+
+def distinct_kmer_hashes(seq: Column, k: int, size: int | None = None) -> Column:
+    """Hashes of the distinct k-mers, window by window, in the order they first occur."""
+    none = F.array().cast("array<bigint>")
+    join = lambda found, text: F.array_union(found, F.transform(kmers(text, k), lambda w: F.xxhash64(w)))
+    return F.aggregate(kmer_windows(seq, k, size), none, join)
+
+
 def chunk_spans(length: Column, size: int, overlap: int) -> Column:
     """Start/stop pairs covering `length` tokens, neighbours sharing `overlap`."""
     step = size - overlap

@@ -10,6 +10,7 @@ from estuarine.functions.adapters import without_adapters
 from estuarine.functions.sequences import (
     MARKER_GENES,
     exact_base_rank,
+    kmer_windows,
     kmers,
     letter_count,
     marker_gene,
@@ -427,7 +428,10 @@ def read_signature(reads: DataFrame, k: int = 6, top: int = 64, key: str = "sequ
     named = reads.select(key, F.trim(F.upper("seq")).alias("__s"))
     # equal sequences share one id; the k-mer rows carry that id, never the text
     unique = named.groupBy("__s").agg(F.min(key).alias("__id"))
-    rows = unique.select("__id", F.posexplode(kmers(F.col("__s"), k)).alias("pos", "kmer"))
+    # a long sequence becomes many rows first, so that none holds all its k-mers
+    parts = unique.select("__id", F.posexplode(kmer_windows(F.col("__s"), k)).alias("part", "__w"))
+    rows = parts.select("__id", "part", F.posexplode(kmers(F.col("__w"), k)).alias("at", "kmer"))
+    rows = rows.withColumn("pos", F.struct("part", "at"))
     counted = rows.groupBy("__id", "kmer").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")
     )
@@ -446,18 +450,39 @@ def read_signature(reads: DataFrame, k: int = 6, top: int = 64, key: str = "sequ
 def encode_kmers(reads: DataFrame, k: int, max_len: int, key: str = "sequence_id") -> DataFrame:
     """k-mer ids (lexicographic rank + 1, 0 pads) and mask, both of length `max_len`.
 
-    A longer sequence gives several rows, numbered by `chunk`; a sequence without k-mers one.
+    A longer sequence gives several rows, numbered by `chunk`; a sequence without k-mers one. Long sequences are worked on
+    in windows: the k-mers before each window are counted in the row, windows become rows, and only
+    the chunks that lie across two windows are put together afterwards. `key` names the sequences.
     """
-    words = F.filter(kmers(F.col("seq"), k), lambda w: w.rlike("^[ACGT]+$"))
-    last = F.greatest(F.ceil(F.size("__w") / F.lit(max_len)) - 1, F.lit(0)).cast("int")
-    reads = reads.select(key, words.alias("__w")).select(key, "__w", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    ids = F.transform(F.slice("__w", F.col("chunk") * max_len + 1, F.lit(max_len)), lambda w: exact_base_rank(w) + 1)
+    words = lambda text: F.filter(kmers(text, k), lambda w: w.rlike("^[ACGT]+$"))
+    windows = kmer_windows(F.coalesce(F.col("seq"), F.lit("")), k)
+    counted = reads.select(key, windows.alias("__t")).withColumn("__n", F.transform("__t", lambda t: F.size(words(t)).cast("long")))
+    added = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, n: x + n)
+    placed = counted.select(key, "__n", added(F.col("__n")).alias("total"), F.posexplode("__t").alias("part", "text"))
+    placed = placed.select(key, "total", "part", added(F.slice("__n", F.lit(1), F.col("part"))).alias("before"), words(F.col("text")).alias("words"))
+    ids = placed.select(key, "total", "part", "before", F.transform("words", lambda w: exact_base_rank(w) + 1).alias("ids"))
+    n, before = F.size("ids").cast("long"), F.col("before")
+    first, last = F.floor(before / max_len), F.floor((before + n - 1) / max_len)
+
+    def piece(c: Column) -> Column:
+        start = F.greatest(c * max_len, before)
+        size = F.least((c + 1) * max_len, before + n) - start
+        return F.struct(c.alias("chunk"), F.slice("ids", (start - before + 1).cast("int"), size.cast("int")).alias("ids"))
+
+    # a sequence without k-mers has one empty piece, in its first window
+    empty = F.struct(F.lit(0).cast("long").alias("chunk"), F.array().cast("array<bigint>").alias("ids"))
+    none = F.array().cast("array<struct<chunk: bigint, ids: array<bigint>>>")
+    own = F.when(n > 0, F.transform(F.sequence(first, last), piece)).when((F.col("total") == 0) & (F.col("part") == 0), F.array(empty)).otherwise(none)
+    pieces = ids.select(key, "total", "part", F.inline(own))
+    whole = F.size("ids") == F.least(F.lit(max_len), F.col("total") - F.col("chunk") * max_len)
+    across = pieces.filter(~whole).groupBy(key, "chunk").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "ids")))["ids"]).alias("ids"))
+    every = pieces.filter(whole).select(key, "chunk", "ids").unionByName(across)
     pad = lambda a, zero: F.slice(F.concat(a, F.array_repeat(zero, max_len)), 1, max_len)
-    return reads.select(
+    return every.select(
         key,
-        F.col("chunk").cast("long").alias("chunk"),
-        pad(ids, F.lit(0).cast("long")).alias("input_ids"),
-        pad(F.transform(ids, lambda _: F.lit(1)), F.lit(0)).alias("attention_mask"),
+        "chunk",
+        pad(F.col("ids"), F.lit(0).cast("long")).alias("input_ids"),
+        pad(F.transform("ids", lambda _: F.lit(1)), F.lit(0)).alias("attention_mask"),
     )
 
 

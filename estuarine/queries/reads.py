@@ -391,7 +391,8 @@ def _(v):
 )
 def _(v):
     return (
-        v.reads.select("sample_id", F.explode(S.kmers(F.col("seq"), 3)).alias("kmer"))
+        v.reads.select("sample_id", F.explode(S.kmer_windows(F.col("seq"), 3)).alias("window"))
+        .select("sample_id", F.explode(S.kmers(F.col("window"), 3)).alias("kmer"))
         .groupBy("sample_id", "kmer")
         .agg(F.count(F.lit(1)).alias("n"))
     )
