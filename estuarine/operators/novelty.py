@@ -107,12 +107,19 @@ def lof(ref: DataFrame, query: DataFrame, k: int = LOF_NEIGHBOURS, contamination
     )
 
 
-def mahalanobis_novelty(ref: DataFrame, query: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """Squared Mahalanobis distance to the reference mean; novel above its upper quantile.
+def _distance(mean: np.ndarray, inverse: np.ndarray):
+    @pandas_udf("double")
+    def squared(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=float)
+        c = matrix(v) - mean
+        return pd.Series(np.einsum("ij,jk,ik->i", c, inverse, c))
+
+    return squared
 
-    Mean and covariance come from one aggregation of d*d sums.
-    """
-    d = len(ref.select("embedding").head()[0])
+
+def _moments(rows: DataFrame, d: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance of `vec`, from one aggregation of d*d sums."""
 
     def sums(batches):
         total, cross, n = np.zeros(d), np.zeros((d, d)), 0
@@ -123,25 +130,93 @@ def mahalanobis_novelty(ref: DataFrame, query: DataFrame, contamination: float =
         yield pd.DataFrame({"i": np.arange(d * d + d + 1), "x": np.concatenate([cross.ravel(), total, [n]])})
 
     # d*d + d + 1 numbers per task, added up by position
-    parts = ref.select(as_doubles(F.col("embedding")).alias("vec")).mapInPandas(sums, "i int, x double")
+    parts = rows.select("vec").mapInPandas(sums, "i int, x double")
     flat = np.array([r.x for r in parts.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
     n = flat[-1]
     mean = flat[d * d : d * d + d] / n
-    cov = flat[: d * d].reshape(d, d) / n - np.outer(mean, mean)
-    inverse = np.linalg.pinv(cov, hermitian=True)
+    return n, mean, flat[: d * d].reshape(d, d) / n - np.outer(mean, mean)
 
-    @pandas_udf("double")
-    def score(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=float)
-        c = matrix(v) - mean
-        return pd.Series(-np.einsum("ij,jk,ik->i", c, inverse, c))
 
-    scored = lambda df: df.select("vec_id", F.round(score(as_doubles(F.col("embedding"))), 9).alias("score"))
+def _scored_against(ref: DataFrame, query: DataFrame, mean: np.ndarray, cov: np.ndarray, contamination: float) -> DataFrame:
+    squared = _distance(mean, np.linalg.pinv(cov, hermitian=True))
+    scored = lambda df: df.select("vec_id", F.round(-squared(as_doubles(F.col("embedding"))), 9).alias("score"))
     cut = F.broadcast(_threshold(scored(ref), "score", contamination))  # one row
     return scored(query).join(cut).select("vec_id", "score", _label(F.col("score") < F.col("threshold")))
 
 
+def mahalanobis_novelty(ref: DataFrame, query: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
+    """Squared Mahalanobis distance to the reference mean; novel above its upper quantile."""
+    d = len(ref.select("embedding").head()[0])
+    _, mean, cov = _moments(ref.select(as_doubles(F.col("embedding")).alias("vec")), d)
+    return _scored_against(ref, query, mean, cov, contamination)
+
+
+def _concentrated(x: np.ndarray, h: int, start: np.ndarray, rounds: int = 30) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log determinant, mean, covariance) after concentration steps on a sample held in memory."""
+    best = None
+    for i in range(rounds + 1):
+        mean, cov = x[start].mean(0), np.cov(x[start].T, bias=True).reshape(x.shape[1], -1)
+        size = np.linalg.slogdet(cov + 1e-12 * np.eye(len(cov)))[1]
+        if i and best is not None and size >= best[0] - 1e-12:
+            break
+        # the subset at the start is smaller, so its determinant says nothing
+        best = (size, mean, cov) if i or len(start) >= h else None
+        c = x - mean
+        start = np.argsort(np.einsum("ij,jk,ik->i", c, np.linalg.pinv(cov, hermitian=True), c), kind="stable")[:h]
+    return best
+
+
+def robust_location(
+    rows: DataFrame, support: float | None = None, starts: int = 30, sample: int = 2000, finalists: int = 2, rounds: int = 30
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the part of the rows (id, vec) with the smallest covariance determinant.
+
+    Fast minimum covariance determinant: small random subsets of a bounded sample, chosen by a hash of the id, are concentrated there, and
+    the best few of them on all rows. A step takes the `support` share (by default just over half) of the
+    rows that lie nearest, by an exact quantile, and their moments, until the determinant stands still. At last all rows
+    within the 0.975 quantile of a chi-squared distance count (its quantiles by the cube-root rule).
+    """
+    d = len(rows.select("vec").head()[0])
+    x = np.array([r.vec for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()], dtype=np.float64)
+    total = rows.count()
+    share = support or min(1.0, (total + d + 1) / (2 * total))
+    h = max(min(len(x), d + 1), int(np.ceil(share * len(x))))
+    rng = np.random.default_rng(42)
+    tried = [_concentrated(x, h, rng.choice(len(x), min(d + 1, len(x)), replace=False), 3) for _ in range(starts)]
+
+    def nearest(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        c = x - mean
+        return np.argsort(np.einsum("ij,jk,ik->i", c, np.linalg.pinv(cov, hermitian=True), c), kind="stable")[:h]
+
+    found = []
+    for _, mean, cov in sorted(tried, key=lambda t: t[0])[:finalists]:
+        _, mean, cov = _concentrated(x, h, nearest(mean, cov))
+        size = np.inf
+        for _ in range(rounds):
+            near = rows.select("vec", _distance(mean, np.linalg.pinv(cov, hermitian=True))("vec").alias("far"))
+            limit = _threshold(near, "far", share).first()[0]
+            _, new_mean, new_cov = _moments(near.filter(F.col("far") <= limit), d)
+            new = np.linalg.slogdet(new_cov + 1e-12 * np.eye(d))[1]
+            if new >= size - 1e-4:
+                break
+            size, mean, cov = new, new_mean, new_cov
+        found.append((size, mean, cov))
+    _, mean, cov = min(found, key=lambda t: t[0])
+    near = rows.select("vec", _distance(mean, np.linalg.pinv(cov, hermitian=True))("vec").alias("far"))
+    chi = lambda z: d * (1 - 2 / (9 * d) + z * np.sqrt(2 / (9 * d))) ** 3
+    scale = _threshold(near, "far", 0.5).first()[0] / chi(0.0)
+    if scale > 0:
+        _, mean, cov = _moments(near.filter(F.col("far") <= chi(1.959964) * scale), d)
+    return mean, cov
+
+
+def robust_envelope(ref: DataFrame, query: DataFrame, contamination: float = CONTAMINATION, support: float | None = None, **search) -> DataFrame:
+    """Squared Mahalanobis distance to the robust centre of the reference, which outliers in it don't move; novel above its upper quantile."""
+    rows = materialize(ref.select(F.col("vec_id").alias("id"), as_doubles(F.col("embedding")).alias("vec")))
+    mean, cov = robust_location(rows, support, **search)
+    return _scored_against(ref, query, mean, cov, contamination)
+
+
 def _grow(x: np.ndarray, seed: int) -> list[tuple]:
     """One random tree as rows (feature, cut, left, right, adjusted depth at leaves)."""
     rng = np.random.default_rng(seed)

@@ -142,6 +142,11 @@ def _(v):
     return rounded(N.mahalanobis_novelty(known(v), v.vectors), "score")
 
 
+@query("robust_envelope")
+def _(v):
+    return rounded(N.robust_envelope(known(v), v.vectors), "score")
+
+
 @query("isolation_forest")
 def _(v):
     return rounded(N.isolation_forest(known(v), v.vectors), "score")
