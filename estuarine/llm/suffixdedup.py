@@ -117,7 +117,7 @@ def _occurrences(texts: DataFrame, length: int, names_only: bool) -> DataFrame:
                     keys = part.column(0).take(pa.array(which))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(size.astype(np.int32)), pa.array(anchor), pa.array(name)], names=["key", "start", "size", "anchor", "name"])
 
-    return texts.mapInArrow(run, "anchor long, n long" if names_only else "key long, start long, size int, anchor long, name long")
+    return texts.mapInArrow(run, "anchor long, n long" if names_only else f"key {texts.schema['key'].dataType.simpleString()}, start long, size int, anchor long, name long")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -239,10 +239,10 @@ def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col:
 
     Every byte covered by a string of `length` bytes that starts anywhere else as well, in this or
     another row, goes. Null text: 0 bytes. Texts shorter than `length` keep everything. Repeated
-    rows count as separate texts, so they lose all they share; a row without id is compared
-    like any other. Only the id and the columns in `keep` are returned; an empty table gives no rows.
+    rows count as separate texts, so they lose all they share, and so do different texts under one id
+    or without id, which are told apart by a hash of the text. Only the id and the columns in `keep` are returned; an empty table gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_col)))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     rows = docs.select(F.col(id_col), *map(F.col, keep), key.alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     spans = repeated_spans(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")), length).toDF("__span_key", "__spans")
 
