@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that are never part of an article.
-DROPPED = frozenset("aside button datalist dialog footer form head header input label menu nav object option search select title audio canvas video".split())
+DROPPED = frozenset("aside button datalist dialog footer head header input label menu nav object option search select title audio canvas video".split())
 #: Words in class, id or role of a container that mark page furniture or readers' comments.
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|"
@@ -72,8 +73,10 @@ def furniture(tag: str, attributes: str, within: bool) -> bool | None:
     doubt: bool | None = False
     if tag in DROPPED and not (within and tag == "header"):
         return True
+    if tag == "form":  # its controls go all the same; `settle` tells a form from a page in one
+        doubt = None
     if tag in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
-        return bool(re.search(r"\shidden\b", attributes or ""))
+        return bool(re.search(r"\shidden\b", attributes or "")) or doubt
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         names = [x for x in value.split() if not x.lower().startswith(("no-", "has-", "with-", "without-"))]
@@ -90,17 +93,22 @@ def furniture(tag: str, attributes: str, within: bool) -> bool | None:
 
 
 def settle(root: Node) -> None:
-    """Drop the doubtful containers with few characters a tag or many in links, inner ones first."""
+    """Drop the doubtful containers with few characters a tag or many in links, inner ones first.
+
+    A form goes unless it holds over half of the page's text, as where a page stands in one form.
+    """
     nodes = order(root)
     if not any(x.doubt for x in nodes):
         return
     sizes: dict[int, tuple[int, int, int]] = {}
+    own = {id(node): sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) for node in nodes}
+    total = sum(own.values())
     for node in reversed(nodes):
-        chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        chars = own[id(node)]
         inner = [sizes[id(x)] for x in node.children if isinstance(x, Node) and not x.dropped]
         chars, links, tags = (n + sum(x[i] for x in inner) for i, n in enumerate((chars, 0, 1)))
         sizes[id(node)] = chars, chars if node.tag == "a" else links, tags
-        node.dropped = node.doubt and (chars < 20 * tags or 3 * links > chars)
+        node.dropped = node.doubt and (2 * chars <= total if node.tag == "form" else chars < 20 * tags or 3 * links > chars)
 
 
 def parse(page: str) -> Node:
@@ -108,17 +116,20 @@ def parse(page: str) -> Node:
     root = at = Node("html", None)
     within = 0
     last = 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that an end without a start costs nothing
 
     def close(node: Node) -> None:
         nonlocal within, at
         while at is not node:
             within -= at.tag in ("article", "main")
+            opened[at.tag] -= 1
             at = at.up
         within -= node.tag in ("article", "main")
+        opened[node.tag] -= 1
         at = node.up or root
 
     def find(names, stop) -> Node | None:
-        node = at
+        node = at if any(opened[x] for x in names) else None
         while node is not None and node is not root:
             if node.tag in names:
                 return node
@@ -153,6 +164,7 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
             at = node
+            opened[tag] += 1
             within += tag in ("article", "main")
     if last < len(page):
         at.children.append(page[last:])

@@ -6,6 +6,7 @@ import html
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -242,6 +243,24 @@ def test_main_text_keeps_slugs(tag, name):
     assert htmltext.main_text(f"<article><h2 id='navigation-and-trade'>Trade</h2><p>{words}</p><{tag} {name}>{words}</{tag}><div class='share-buttons'><a href=x>Send it</a></div></article>") == f"Trade {words} {words}"
 
 
+def test_main_text_in_a_form():
+    """A page that stands in one form keeps its article and loses the controls; a small form goes."""
+    words = "The river rose by two metres in the night and the bridge was closed to all traffic until noon. " * 4
+    small = '<form class="x"><p>Write to us about this page if you wish.</p><input name="q"><button>Send</button></form>'
+    page = f'<html><body><form id="aspnetForm"><nav>Home</nav><div><h1>Flood</h1><p>{words}</p><p>{words}</p><select><option>One</option></select></div></form></body></html>'
+    text = " ".join(["Flood", words.strip(), words.strip()])
+    assert htmltext.main_text(page) == text
+    assert htmltext.main_text(f"<body><div><h1>Flood</h1><p>{words}</p><p>{words}</p>{small}</div></body>") == text
+
+
+def test_main_text_of_unmatched_ends():
+    """End tags without a start under many open elements take linear time."""
+    start = time.monotonic()
+    n = 100_000
+    assert htmltext.main_text("<div><p>" + "<b>" * n + "one two three " + "</i>" * n + "</div>") == "one two three"
+    assert time.monotonic() - start < 20
+
+
 def test_main_text_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", "<article><p>Text</p></article>")], "page_id long, url string, html string")
     assert rows_of(htmltext.extract(pages), "page_id", "url", "text", "n_chars") == sorted([(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (None, "v", "Text", 4)], key=repr)
