@@ -45,6 +45,9 @@ class PieceModel:
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.id):
             raise ValueError("a piece runs over the start of a word")
         self.end = proto.trainer_spec.eos_id
+        #: per id its text in UTF-8 and its number with a space
+        self.raw = [bytes([self.value[i]]) if i in self.value else x.encode() for i, x in enumerate(self.text)]
+        self.printed = [b"%d " % i for i in range(len(pieces))]
         #: the better the score, the lower the rank; equal scores share one, then the left pair goes first
         order = {s: r for r, s in enumerate(sorted({p.score for p in pieces}, reverse=True))}
         found = [(self.id[p[:i]], self.id[p[i:]], order[pieces[n].score], n) for p, n in self.id.items() for i in range(1, len(p)) if p[:i] in self.id and p[i:] in self.id]
@@ -91,9 +94,10 @@ class PieceModel:
             best = np.minimum.reduceat(rank, at[:-1])
             done = best == NONE
             if done.any():
-                kept, flat = done[word], symbol.tolist()
-                for i in np.flatnonzero(done).tolist():
-                    out[name[i]] = flat[at[i] : at[i + 1]]
+                kept = done[word]
+                flat, edges = symbol[kept].tolist(), starts(lengths[done]).tolist()
+                for i, a, b in zip(name[done].tolist(), edges[:-1], edges[1:], strict=True):
+                    out[i] = flat[a:b]
                 symbol, rank, result = symbol[~kept], rank[~kept], result[~kept]
                 name, lengths, best = name[~done], lengths[~done], best[~done]
                 word = np.repeat(np.arange(len(name)), lengths)
@@ -143,14 +147,18 @@ class PieceModel:
         out = []
         for s, m in zip(symbols, merged, strict=True):
             m = self.merge_long(s) if len(s) > long else m
-            if any(x >= base for x in m):
+            if m and max(m) >= base:
                 m = [y for x in m for y in ([x] if x < base else [self.byte[b] for b in chr(x - base).encode()])]
             out.append(m)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids in UTF-8, with its space marks; control pieces give nothing."""
-        return b"".join(bytes([self.value[i]]) if i in self.value else self.text[i].encode() for i in ids)
+        return b"".join([self.raw[i] for i in ids])
+
+    def digits(self, ids: list[int]) -> bytes:
+        """The ids in decimal, each with a space behind it."""
+        return b"".join([self.printed[i] for i in ids])
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -184,7 +192,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, limit: int = 300_
                 texts = [model.words(t) for t in strings(part, "__text")]
                 new = [w for w in {w for t in texts for w in t} if w not in known]
                 for w, ids in zip(new, model.encode_words(new), strict=True):
-                    known[w] = len(ids), " ".join(map(str, ids)).encode() + b" ", model.decode(ids), ids if with_ids else []
+                    known[w] = len(ids), model.digits(ids), model.decode(ids), ids if with_ids else []
                 rows = [[], [], [], [], []]
                 for words in texts:
                     found = [known[w] for w in words]
