@@ -321,13 +321,16 @@ def attach_names(reads: DataFrame, table: DataFrame) -> DataFrame:
 
     `table` has sequence_id, name and a position column `pos`.
     """
+    ids = reads.select("sequence_id").distinct()
     exact = table.groupBy("sequence_id").agg(F.min_by("name", "pos").alias("__exact"))
-    first = reads.withColumn("__id", F.col("sequence_id").cast("string")).join(exact, "sequence_id", "left")
-    missed = first.filter(F.col("__exact").isNull()).select("__id")
+    named = ids.join(exact.hint("merge"), "sequence_id", "left").withColumn("__id", F.col("sequence_id").cast("string"))
+    missed = named.filter(F.col("__exact").isNull()).select("__id")
     held = first_containing(missed, "__id", table.select("name", "pos"), "name", "pos")
     held = held.select("__id", F.col("name").alias("__held"))
-    name = F.coalesce("__exact", "__held", organism_name(F.col("description")))
-    return first.join(held, "__id", "left").select(*reads.columns, name.alias("name"))
+    # only ids and names until here; the names grow with the reads, so none of them is broadcast
+    found = named.join(held.hint("merge"), "__id", "left").select("sequence_id", F.coalesce("__exact", "__held").alias("__found"))
+    out = reads.withColumn("__header", organism_name(F.col("description"))).join(found.hint("merge"), "sequence_id", "left")
+    return out.select(*reads.columns, F.coalesce("__found", "__header").alias("name"))
 
 
 def prepare_references(

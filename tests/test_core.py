@@ -12,6 +12,7 @@ from estuarine.functions import sequences as S
 from estuarine.operators import diversity as D
 from estuarine.operators import reads as R
 from estuarine.operators.identity import fuzzy_match
+from estuarine.operators.lineage import attach_names
 from estuarine.operators.ordered import exact_quantiles, ranked, running_totals
 from estuarine.operators.rates import FixedWindow, SlidingLog, rate_audit
 from estuarine.operators.textjoin import first_containing
@@ -159,6 +160,23 @@ def test_first_containing(spark):
     assert got == {"BETA": "Alpha beta", "z": "z", "am": "beta gamma"}
 
 
+def test_first_containing_long_needles(spark):
+    names = spark.createDataFrame([("a long name of one", 2), ("THE long name of two", 1), (None, 0)], "name string, pos long")
+    needles = spark.createDataFrame([("Long name of",), ("name of one",), ("name of three",), ("ng na",), (None,)], "needle string")
+    got = {r.needle: r.pos for r in first_containing(needles, "needle", names, "name", "pos").collect()}
+    assert got == {"Long name of": 1, "name of one": 2, "ng na": 1}
+
+
+def test_attached_names_are_not_broadcast(spark):
+    """Substrings of all names are many times their input, which the optimiser does not see."""
+    reads = spark.createDataFrame([(7, "Genus species"), (12, "x"), (3, "none")], "sequence_id long, description string")
+    table = spark.createDataFrame([(3, "Exact", 1), (100, "Unit 712", 3), (101, "Unit 12", 2)], "sequence_id long, name string, pos long")
+    out = attach_names(reads, table)
+    assert {r.sequence_id: r.name for r in out.collect()} == {3: "Exact", 7: "Unit 712", 12: "Unit 12"}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("BroadcastExchange") == 1  # the row of needle lengths
+
+
 def test_fuzzy_match(spark):
     df = spark.createDataFrame([("vibrio", "vib", True), ("vibrio", "vibex", True), ("abc", "abd", False), ("", "a", False)], "a string, b string, w boolean")
     assert all(r[0] == r[1] for r in df.select(fuzzy_match(F.col("a"), F.col("b")), "w").collect())
