@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estuarine.operators.blocks import CHUNK, distances, grid_apply, matrix
+from estuarine.operators.blocks import chunk_rows, grid_apply, matrix, within
 from estuarine.operators.ordered import ranked
 from estuarine.operators.vectors import (
     _cell_radius,
@@ -100,13 +100,14 @@ def _links(eps: float):
                 i = root[i]
             return i
 
-        for start, d in distances(matrix(left["vec"]), matrix(right["vec"])):
-            for i in range(len(d)):
-                # all rows near one row form one set: joining their present roots is enough
-                near = {find(j) for j in set(root[ib[d[i] <= eps]].tolist())} | {find(ia[start + i])}
-                low = min(near)
-                for r in near:
-                    root[r] = low
+        for i, j in within(matrix(left["vec"]), matrix(right["vec"]), eps):
+            while (root[root] != root).any():
+                root = root[root]
+            x, y = root[ia[i]], root[ib[j]]
+            apart = x != y
+            for pair in np.unique(np.minimum(x, y)[apart] * len(ids) + np.maximum(x, y)[apart]).tolist():
+                p, q = find(pair // len(ids)), find(pair % len(ids))
+                root[max(p, q)] = min(p, q)
         final = np.array([find(i) for i in range(len(ids))])
         keep = final != np.arange(len(ids))
         return pd.DataFrame({"a": ids[keep], "b": ids[final[keep]]})
@@ -118,8 +119,10 @@ def _near_weight(eps: float):
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         w = right["weight"].to_numpy(dtype=np.int64)
         out = np.zeros(len(left), dtype=np.int64)
-        for start, d in distances(matrix(left["vec"]), matrix(right["vec"])):
-            out[start : start + len(d)] = (d <= eps) @ w
+        for i, j in within(matrix(left["vec"]), matrix(right["vec"]), eps):
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            if len(first):
+                out[i[first]] = np.add.reduceat(w[j], first)
         return pd.DataFrame({"id": left["id"].to_numpy(), "near": out})
 
     return kernel
@@ -130,13 +133,13 @@ def _lowest_label(eps: float):
         labels = right["component"].to_numpy()
         rows, found = [], []
         ids = left["id"].to_numpy()
-        for start, d in distances(matrix(left["vec"]), matrix(right["vec"])):
-            for i in range(len(d)):
-                near = labels[d[i] <= eps]
-                if len(near):
-                    rows.append(ids[start + i])
-                    found.append(near.min())
-        return pd.DataFrame({"id": np.array(rows, dtype=np.int64), "component": np.array(found, dtype=np.int64)})
+        for i, j in within(matrix(left["vec"]), matrix(right["vec"]), eps):
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            if len(first):
+                rows.append(ids[i[first]])
+                found.append(np.minimum.reduceat(labels[j], first))
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"id": np.concatenate(rows or none), "component": np.concatenate(found or none)})
 
     return kernel
 
@@ -148,7 +151,7 @@ def dbscan(
     key: str = "vec_id",
     border: bool = True,
     min_cluster_size: int = 1,
-    size: int = CHUNK,
+    size: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """Density clusters (key, cluster); -1 is noise, clusters count from 0 by smallest core id.
@@ -160,6 +163,7 @@ def dbscan(
     rows = vectors.select(F.col(key).cast("long").alias("id"), as_doubles(F.col("embedding")).alias("vec"))
     points = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
     chosen = choose_pivots(points, points.count(), pivots)
+    size = size or chunk_rows(chosen.shape[1] if len(chosen) else 1)
     placed = materialize(assign_cells(points, chosen))
     radius = _cell_radius(placed, len(chosen))
     flat = placed.drop("pivot_distance")

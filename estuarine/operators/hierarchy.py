@@ -13,6 +13,8 @@ of them than rows / `min_cluster_size`, and their tree alone is worked out in on
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from estuarine.operators.ordered import ranked
 from estuarine.operators.vectors import TIE_DIGITS, _cell_radius, as_doubles, assign_cells, choose_pivots, knn_join
 from estuarine.session import materialize
 
+#: A tree of n rows has sqrt(n / PIVOT_ROWS) pivots; its blocks are small, since they are held whole.
+PIVOT_ROWS = 256
 #: Distances below this count as this, so that equal rows have a finite density.
 LEAST = 1e-9
 
@@ -151,7 +155,7 @@ def folded(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def reachability_tree(points: DataFrame, min_samples: int, alpha: float = 1.0, size: int = CHUNK, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, weight, core), (w, a, b)): the spanning tree of mutual reachability distances of `folded` points."""
     cores = core_distances(points, min_samples)
-    chosen = choose_pivots(points, points.count(), pivots)
+    chosen = choose_pivots(points, 0, pivots or max(1, math.ceil(math.sqrt(points.count() / PIVOT_ROWS))))
     placed = materialize(assign_cells(points.join(cores, "id"), chosen))
     radius = _cell_radius(placed, len(chosen))
     far = F.greatest(F.col("pivot_distance") / alpha, "core")

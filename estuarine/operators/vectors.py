@@ -16,58 +16,92 @@ from pyspark.sql.functions import pandas_udf
 
 from estuarine.functions.sequences import kmers
 from estuarine.functions.vectors import l2, normalize
-from estuarine.operators.blocks import CHUNK, distances, grid_apply, matrix
+from estuarine.operators.blocks import Bounds, chunk_rows, distances, grid_apply, matrix, pair_distances
 from estuarine.operators.ordered import top_per_group
 from estuarine.session import materialize
 
 TIE_DIGITS = 9
 # A store of n vectors gets sqrt(n / PIVOT_ROWS) pivots.
-PIVOT_ROWS = 256
+PIVOT_ROWS = 4096
 
 
 def as_doubles(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double"))
 
 
-def _smallest(cost: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k smallest values of every row, of equal values the first ones."""
-    n = cost.shape[1]
-    if k >= n:
-        return np.argsort(cost, axis=1, kind="stable")
-    limit = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
-    below = cost < limit
-    level = cost == limit
-    room = k - below.sum(1, keepdims=True)
-    chosen = below | (level & (np.cumsum(level, axis=1) <= room))
-    return np.nonzero(chosen)[1].reshape(len(cost), k)
+def _firsts(b: np.ndarray, runs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k rows of every distinct vector of a run: copies beyond them are nobody's neighbours."""
+    rows = np.column_stack([b + 0.0, runs])
+    _, same = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    start = np.flatnonzero(np.diff(same[order], prepend=-1))
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    return np.sort(order[place < k])
 
 
-def _kernel(k: int, metric: str, exclude: bool):
+def _kernel(k: int, metric: str, exclude: bool, elements: int = 2**21):
+    """The k nearest of a chunk: bounds in single precision leave a few candidates, which are compared exactly."""
+
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(left["vec"]), matrix(right["vec"])
         q, r = left["query_id"].to_numpy(), right["ref_id"].to_numpy()
-        order = np.argsort(r, kind="stable")
-        b, r = b[order], r[order]
-        runs = (left["run"].to_numpy(), right["run"].to_numpy()[order]) if exclude else None
+        place = np.unique(r, return_inverse=True)[1]
+        own, other = np.full(len(a), -1), np.full(len(b), -1)
+        if exclude:
+            runs, _ = pd.factorize(pd.concat([left["run"], right["run"]], ignore_index=True))
+            own, other = runs[: len(a)], runs[len(a) :]
+        order = np.lexsort((place, other))
+        order = order[_firsts(b[order], other[order], k)]
+        b, r, place, other = b[order], r[order], place[order], other[order]
+        turn = np.argsort(own, kind="stable")
+        a, q, own = a[turn], q[turn], own[turn]
+        bounds = Bounds(a, b, metric)
+        sample = np.unique(np.linspace(0, len(b) - 1, min(len(b), max(2048, 16 * k))).astype(int))
+        step = max(1, elements // len(b))
         ids, refs, found = [], [], []
-        slices = (
-            ((s, a[s : s + 256] @ b.T) for s in range(0, len(a), 256))
-            if metric == "ip"
-            else distances(a, b)
-        )
-        for start, values in slices:
-            values = np.round(values, TIE_DIGITS)
-            cost = -values if metric == "ip" else values
-            rows = np.arange(start, start + len(values))
+
+        def hide(cost: np.ndarray, start: int, cols: np.ndarray) -> None:
+            """References of a query's own run are out of reach; both sides are in the order of runs."""
+            for run in np.unique(own[start : start + len(cost)]):
+                if run >= 0:
+                    x, y = np.searchsorted(own, [run, run + 1]) - start, np.searchsorted(cols, [run, run + 1])
+                    cost[max(x[0], 0) : max(x[1], 0), y[0] : y[1]] = np.inf
+
+        for start in range(0, len(a), step):
+            rows = slice(start, min(start + step, len(a)))
+            some = bounds.upper(rows, sample)
+            low = bounds.lower(rows)
+            if exclude:
+                hide(some, start, other[sample])
+                hide(low, start, other)
+            some[np.isnan(some)] = np.inf
+            kth = np.partition(some, k - 1, axis=1)[:, k - 1] if k <= some.shape[1] else np.full(len(some), np.inf)
+            # a tie at TIE_DIGITS may lie farther by one unit
+            mask = low <= bounds.limit(kth, rows, 2 * 10.0**-TIE_DIGITS)[:, None]
+            if len(b) > len(sample) and np.count_nonzero(mask) > 64 * k * len(mask):
+                width = 2 * bounds.slop * (bounds.nb**2 + 2 * bounds.na[rows, None] * bounds.nb if metric == "l2" else bounds.na[rows, None] * bounds.nb)
+                some = low + 2 * width.astype(low.dtype)
+                some[np.isnan(some)] = np.inf
+                kth = np.minimum(kth, np.partition(some, k - 1, axis=1)[:, k - 1])
+                mask = low <= bounds.limit(kth, rows, 2 * 10.0**-TIE_DIGITS)[:, None]
             if exclude:
-                cost = np.where(runs[1][None, :] == runs[0][rows, None], np.inf, cost)
-            top = _smallest(cost, k)
-            kept = np.isfinite(np.take_along_axis(cost, top, 1))
-            ids.append(np.repeat(q[rows], kept.sum(1)))
-            refs.append(r[top[kept]])
-            found.append(np.take_along_axis(values, top, 1)[kept])
-        if not ids:
-            return pd.DataFrame(columns=["query_id", "ref_id", "value"])
+                mask &= low < np.inf
+            i, j = np.divmod(np.flatnonzero(mask), len(b))
+            value = np.empty(len(i))
+            for part in range(0, len(i), elements // 16):
+                at = slice(part, part + elements // 16)
+                x = start + i[at]
+                value[at] = np.einsum("ij,ij->i", a[x], b[j[at]]) if metric == "ip" else pair_distances(a, b, x, j[at])
+            value = np.round(value, TIE_DIGITS)
+            fine = np.isfinite(value)
+            i, j, value = i[fine], j[fine], value[fine]
+            by = np.lexsort((place[j], -value if metric == "ip" else value, i))
+            i, j, value = i[by], j[by], value[by]
+            head = np.searchsorted(i, i)
+            kept = np.arange(len(i)) - head < k
+            ids.append(q[start + i[kept]])
+            refs.append(r[j[kept]])
+            found.append(value[kept])
         return pd.DataFrame({"query_id": np.concatenate(ids), "ref_id": np.concatenate(refs), "value": np.concatenate(found)})
 
     return best
@@ -167,14 +201,14 @@ def knn_join(
             return np.partition(d[:, cells] + steps[None, :], k - 1, axis=1)[:, k - 1]
 
         q, r = probe_cells(q, pivots, radius, reach), placed.drop("pivot_distance")
-    return _grid_knn(q, r, k, metric, exclude_run is not None)
+    return _grid_knn(q, r, k, metric, exclude_run is not None, pivots.shape[1] if len(pivots) else 1)
 
 
-def _grid_knn(q: DataFrame, r: DataFrame, k: int, metric: str, exclude: bool = False) -> DataFrame:
+def _grid_knn(q: DataFrame, r: DataFrame, k: int, metric: str, exclude: bool = False, dims: int = 1) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in q.schema}
     ref_kind = r.schema["ref_id"].dataType.simpleString()
     schema = f"query_id {kinds['query_id']}, ref_id {ref_kind}, value double"
-    found = grid_apply(q, r, "cell", "query_id", "ref_id", _kernel(k, metric, exclude), schema)
+    found = grid_apply(q, r, "cell", "query_id", "ref_id", _kernel(k, metric, exclude), schema, chunk_rows(dims))
     order = [F.desc("value") if metric == "ip" else F.asc("value"), F.asc("ref_id")]
     return top_per_group(found, ["query_id"], order, k, "rank")
 
@@ -209,7 +243,8 @@ def ann_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
         radius = np.zeros(len(centres))
         n = min(nprobe, len(centres))
         q = probe_cells(q, centres, radius, lambda d: np.partition(d, n - 1, axis=1)[:, n - 1])
-    return _grid_knn(q, index, k, "l2")
+    first = index.select("vec").head()
+    return _grid_knn(q, index, k, "l2", dims=len(first.vec) if first else 1)
 
 
 def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -288,7 +323,7 @@ def silhouette(vectors: DataFrame, cluster: str = "cluster") -> DataFrame:
     return vectors.sparkSession.range(1).select(F.lit(float(score)).alias("silhouette"))
 
 
-def cluster_coherence(vectors: DataFrame, cluster: str = "cluster", key: str = "vec_id", size: int = CHUNK) -> DataFrame:
+def cluster_coherence(vectors: DataFrame, cluster: str = "cluster", key: str = "vec_id", size: int | None = None) -> DataFrame:
     """1 / (1 + mean pairwise distance) per cluster; 0 for single members, noise left out.
 
     Chunk pairs yield one partial sum each; every unordered pair is counted twice.
@@ -296,6 +331,8 @@ def cluster_coherence(vectors: DataFrame, cluster: str = "cluster", key: str = "
     rows = vectors.filter(F.col(cluster) != -1)
     side = rows.select(F.col(cluster).alias("cluster"), F.col(key).alias("id"), as_doubles(F.col("embedding")).alias("vec"))
     kind = side.schema["cluster"].dataType.simpleString()
+    first = None if size else side.select("vec").head()
+    size = size or chunk_rows(len(first.vec) if first else 1)
 
     def partial(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         total = sum(d.sum() for _, d in distances(matrix(left["vec"]), matrix(right["vec"])))

@@ -1,14 +1,15 @@
 """Block-wise operators against brute force, with small chunks so that many blocks meet."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-
 from estuarine.operators import assign as A
 from estuarine.operators import clustering as C
 from estuarine.operators import kmersearch as K
 from estuarine.operators import novelty as N
 from estuarine.operators import vectors as V
+from estuarine.operators.blocks import within
 
 
 def frame(spark, x, label=None):
@@ -29,6 +30,34 @@ def dist(x, y):
     return np.sqrt(((x[:, None, :].astype(float) - y[None, :, :].astype(float)) ** 2).sum(2))
 
 
+@pytest.mark.parametrize("metric,scale,runs", [("l2", 1.0, False), ("l2", 1e-8, True), ("ip", 1.0, True), ("l2", 1e6, False)])
+def test_nearest_by_bounds_equals_brute_force(metric, scale, runs):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(60, 5)) * scale, rng.normal(size=(5000, 5)) * scale
+    b[1000:3000] = b[rng.integers(0, 9, 2000)]  # many copies, more than the bounds' first look holds
+    b[4], a[2], b[77] = np.nan, b[8], b[77] * 1e7
+    if metric == "ip":
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    ids, own, other = rng.permutation(5000), rng.integers(0, 3, 60), rng.integers(0, 3, 5000)
+    left, right = pd.DataFrame({"query_id": range(60), "vec": list(a), "run": own}), pd.DataFrame({"ref_id": ids, "vec": list(b), "run": other})
+    out = V._kernel(12, metric, runs, 2**14)(left, right)
+    assert V._firsts(b[1000:3000], np.zeros(2000), 12).size <= 9 * 12
+    for q in range(60):
+        value = np.round(b @ a[q] if metric == "ip" else np.sqrt(((b - a[q]) ** 2).sum(1)), 9)
+        fine = np.isfinite(value) & ((other != own[q]) | (not runs))
+        order = [j for j in np.lexsort((ids, -value if metric == "ip" else value)) if fine[j]][:12]
+        assert out.ref_id[out.query_id == q].tolist() == ids[order].tolist()
+
+
+def test_within_settles_close_calls_exactly():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 6)) + 1000, rng.normal(size=(900, 6)) + 1000
+    eps = float(np.sqrt(((a[3] - b[5]) ** 2).sum()))
+    i, j = (np.concatenate(x) for x in zip(*within(a, b, eps, 2**10), strict=True))
+    want = np.nonzero(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) <= eps)
+    assert sorted(zip(i, j, strict=True)) == sorted(zip(*want, strict=True)) and (3, 5) in set(zip(i, j, strict=True))
+
+
 def test_knn_with_pivots_is_exact(spark, blobs, monkeypatch):
     x, _ = blobs
     monkeypatch.setattr(V, "choose_pivots", lambda df, n, w=None: np.array([r.vec for r in df.orderBy("id").limit(9).collect()]))
