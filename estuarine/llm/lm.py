@@ -112,39 +112,32 @@ class LogBilinear:
     def parameters(self) -> list[np.ndarray]:
         return [self.vectors, self.near, self.far, self.bias]
 
-    def fit(self, triple: np.ndarray, count: np.ndarray, steps: int = 500, batch: int = 4096, noise: int = 32, rate: float = 0.02, seed: int = 11) -> LogBilinear:
-        """Steps over triples drawn by their counts, each against noise classes drawn by frequency."""
-        rng = np.random.default_rng(seed)
-        order = np.argsort(triple)
-        triple, count = triple[order], count[order].astype(float)
-        upto = np.cumsum(count)
-        share = np.bincount(triple % CLASSES, weights=count, minlength=CLASSES) + 0.5
+    def fit(self, triple: np.ndarray, count: np.ndarray, steps: int = 500, noise: int = 32, rate: float = 0.02) -> LogBilinear:
+        """Steps over the whole table of triples, against the expectation of `noise` classes by frequency.
+
+        Nothing is drawn: every triple weighs its count, and each class is noise by its share.
+        """
+        seen = np.zeros(CLASSES**3)
+        np.add.at(seen, triple, count.astype(float))
+        seen = seen.reshape(CLASSES**2, CLASSES)
+        share = seen.sum(0) + 0.5
         share /= share.sum()
         self.bias = np.log(share)
+        seen /= max(seen.sum(), 1)
+        against = seen.sum(1)[:, None] * (noise * share)
         moments = [np.zeros_like(p) for p in self.parameters()]
         squares = [np.zeros_like(p) for p in self.parameters()]
         for step in range(1, steps + 1):
-            x = triple[np.minimum(np.searchsorted(upto, rng.random(batch) * upto[-1], "right"), len(triple) - 1)]
-            far, near, target = x // CLASSES**2, x // CLASSES % CLASSES, x % CLASSES
-            other = rng.choice(CLASSES, noise, p=share)
-            expected = self.vectors[near] @ self.near + self.vectors[far] @ self.far
-            # how much likelier than noise: the true class against one of the noise draws
-            good = (expected * self.vectors[target]).sum(1) + self.bias[target] - np.log(noise * share[target])
-            bad = expected @ self.vectors[other].T + self.bias[other] - np.log(noise * share[other])
-            d_good, d_bad = 1 / (1 + np.exp(good)), -1 / (1 + np.exp(-bad))
-            d_good, d_bad = d_good / batch, d_bad / batch
-            d_expected = d_good[:, None] * self.vectors[target] + d_bad @ self.vectors[other]
-
-            def summed(index, rows):
-                return np.stack([np.bincount(index, weights=rows[:, j], minlength=CLASSES) for j in range(rows.shape[1])], 1)
-
-            d_vectors = summed(target, d_good[:, None] * expected)
-            np.add.at(d_vectors, other, d_bad.T @ expected)
-            by_near, by_far = summed(near, d_expected), summed(far, d_expected)
+            # contexts in the order of triples: the class two before, then the one before
+            expected = ((self.vectors @ self.far)[:, None, :] + (self.vectors @ self.near)[None, :, :]).reshape(CLASSES**2, -1)
+            # how much likelier than noise a class is
+            true = 1 / (1 + np.exp(np.log(noise * share) - self.bias - expected @ self.vectors.T))
+            d = seen - (seen + against) * true
+            d_expected = (d @ self.vectors).reshape(CLASSES, CLASSES, -1)
+            by_near, by_far = d_expected.sum(0), d_expected.sum(1)
             d_near, d_far = self.vectors.T @ by_near, self.vectors.T @ by_far
-            d_vectors += by_near @ self.near.T + by_far @ self.far.T
-            d_bias = np.bincount(target, weights=d_good, minlength=CLASSES)
-            np.add.at(d_bias, other, d_bad.sum(0))
+            d_vectors = d.T @ expected + by_near @ self.near.T + by_far @ self.far.T
+            d_bias = d.sum(0)
             speed = rate * (1 - 0.9 * step / steps)
             for p, g, m, s in zip(self.parameters(), [d_vectors, d_near, d_far, d_bias], moments, squares, strict=True):
                 m += 0.1 * (g - m)

@@ -206,6 +206,17 @@ def test_language_model(spark, edges, empty):
     assert all(abs(r["base_score"]) < 1e-6 and r["n_known"] == 0 for r in alone)
 
 
+def test_language_model_is_fitted_to_all_triples():
+    """A triple far too rare to be drawn moves the model, and the order of the table doesn't."""
+    rng = np.random.default_rng(4)
+    triple, count = np.arange(0, lm.CLASSES**3, 997), rng.integers(10**6, 10**7, len(range(0, lm.CLASSES**3, 997)))
+    base, back = lm.LogBilinear().fit(triple, count, steps=20), lm.LogBilinear().fit(triple[::-1], count[::-1], steps=20)
+    more = lm.LogBilinear().fit(np.append(triple, 12_345), np.append(count, 1), steps=20)
+    assert np.array_equal(base.log10_table(), back.log10_table())
+    assert not np.array_equal(base.vectors, more.vectors)
+    assert more.log10_table()[12_345] > base.log10_table()[12_345]
+
+
 def test_language_model_is_normalised():
     model = lm.LogBilinear().fit(np.array([5, 700, 9_000, 123_456]), np.array([10, 5, 3, 8]), steps=20)
     table = 10 ** model.log10_table().reshape(-1, lm.CLASSES)
