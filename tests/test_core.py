@@ -11,7 +11,7 @@ from estuarine.functions import mathx
 from estuarine.functions import sequences as S
 from estuarine.operators import diversity as D
 from estuarine.operators import reads as R
-from estuarine.operators.identity import fuzzy_match
+from estuarine.operators.identity import fuzzy_match, identify_organisms
 from estuarine.operators.lineage import attach_names
 from estuarine.operators.ordered import exact_quantiles, ranked, running_totals
 from estuarine.operators.rates import FixedWindow, SlidingLog, rate_audit
@@ -177,6 +177,34 @@ def test_attached_names_are_not_broadcast(spark):
     assert plan.count("BroadcastExchange") == 1  # the row of needle lengths
 
 
+def joined_rows(df):
+    """Rows that the joins of an executed plan gave, the largest."""
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name.endswith("JoinExec"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in name else []
+        for child in inner + [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
+
+
+def test_groups_of_one_lineage_are_compared_once(spark):
+    schema = "signature string, kingdom string, phylum string, genus string, species string"
+    known = [(i, "s", f"king {i}", "phyl", "g", "x" if i % 2 else None) for i in range(200)]
+    groups = [(i, *([("s", "king 7", "phylum", "g", "x"), ("s", "other", "phyl", "g", None), (None, "king 7", "phyl", "g", "x")][i % 3])) for i in range(3000)]
+    out = identify_organisms(spark.createDataFrame(groups, f"group_id long, {schema}"), spark.createDataFrame(known, f"organism_id long, {schema}"))
+    rows = {r.group_id: r for r in out.collect()}
+    assert len(rows) == 3000
+    assert all((rows[i].organism_id, rows[i].match_tier) == ("1", 2) for i in range(0, 3000, 3))  # fuzzy, smallest id
+    assert all(rows[i].is_new and rows[i].match_tier is None for i in range(3000) if i % 3)
+    assert joined_rows(out) < 5000
+
+
 def test_fuzzy_match(spark):
     df = spark.createDataFrame([("vibrio", "vib", True), ("vibrio", "vibex", True), ("abc", "abd", False), ("", "a", False)], "a string, b string, w boolean")
     assert all(r[0] == r[1] for r in df.select(fuzzy_match(F.col("a"), F.col("b")), "w").collect())
