@@ -21,7 +21,8 @@ def norm(a: Column) -> Column:
 def normalize(a: Column, eps: float = 1e-12) -> Column:
     """Unit-length doubles; vectors shorter than `eps` are divided by `eps`."""
     length = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    # inside the inner function alone the length would be worked out again for every number
+    return F.get(F.transform(F.array(length), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
