@@ -3,8 +3,9 @@
 Sharding. The hash of every 16-byte string is taken, and each window of `length` bytes belongs to
 the leftmost smallest hash inside it, its anchor. Equal windows have equal anchors, so windows need
 to be compared only under one anchor. Consecutive windows with one anchor are a segment; segments
-whose anchor occurs once in the corpus hold no repeated window and stay behind, equal segments are
-folded into a weighted one, and the rest is dealt to shards by anchor.
+whose anchor occurs once in the corpus hold no repeated window and stay behind. Where all segments of an
+anchor are equal, every window of theirs repeats and they are spans as they are. Of the rest, equal
+segments are folded into a weighted one and dealt to shards by anchor.
 
 Each shard is one text, its segments between separators that no UTF-8 text contains. Its suffix array
 is built by induced sorting; where neighbours have common prefixes of `length` or more, windows are
@@ -28,7 +29,8 @@ from estuarine.session import materialize
 
 GRAM = 16
 GAP = 255
-PIECE = 1 << 21
+#: Bytes that are hashed at once, doubled at most; every byte takes some 100 bytes of arrays.
+PIECE = 1 << 18
 PLACE = U((1 << 24) - 1)
 
 
@@ -103,7 +105,7 @@ def _bytes(batch: pa.RecordBatch, i: int) -> list[bytes]:
 
 
 def _occurrences(texts: DataFrame, length: int, names_only: bool) -> DataFrame:
-    """Segments of (key, text) rows; with `names_only` just anchors with their numbers."""
+    """Segments of (key, text) rows; with `names_only` just anchors with their numbers, the smallest name and whether all names are it."""
 
     def run(batches):
         finder = Anchors(length)
@@ -111,20 +113,26 @@ def _occurrences(texts: DataFrame, length: int, names_only: bool) -> DataFrame:
             for part in slices(batch, "text"):
                 which, start, size, anchor, name = finder.segments(_bytes(part, 1))
                 if names_only:
-                    anchor, n = np.unique(anchor, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+                    if not len(anchor):
+                        continue
+                    order = np.argsort(anchor, kind="stable")
+                    anchor, name = anchor[order], name[order]
+                    head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                    low, high = np.minimum.reduceat(name, head), np.maximum.reduceat(name, head)
+                    columns = anchor[head], np.diff(head, append=len(anchor)), low, low == high
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["anchor", "n", "name", "same"])
                 else:
                     keys = part.column(0).take(pa.array(which))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(size.astype(np.int32)), pa.array(anchor), pa.array(name)], names=["key", "start", "size", "anchor", "name"])
 
-    return texts.mapInArrow(run, "anchor long, n long" if names_only else f"key {texts.schema['key'].dataType.simpleString()}, start long, size int, anchor long, name long")
+    return texts.mapInArrow(run, "anchor long, n long, name long, same boolean" if names_only else f"key {texts.schema['key'].dataType.simpleString()}, start long, size int, anchor long, name long")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     """Bytes of segments from (text, parts), parts being (start, size, anchor, name, weight, salt)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             out = [[], [], [], [], []]
             for text, parts in zip(_bytes(batch, 0), batch.column(1).to_pylist(), strict=True):
                 for p in parts:
@@ -199,9 +207,10 @@ def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block
     Spans are (begin, end) bytes to remove, sorted, not touching.
     """
     # both tables that the places are joined to are written first, so that Spark can split a common anchor's rows
-    shared = materialize(_occurrences(texts, length, True).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    places = materialize(_occurrences(texts, length, False).join(shared, "anchor", "left_semi"))
-    classes = places.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "start", "size")).alias("at"))
+    alike = F.bool_and("same") & (F.min("name") == F.max("name"))
+    shared = materialize(_occurrences(texts, length, True).groupBy("anchor").agg(F.sum("n").alias("n"), alike.alias("alike")).filter("n > 1").select("anchor", "alike"))
+    places = materialize(_occurrences(texts, length, False).join(shared, "anchor"))
+    classes = places.filter("not alike").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "start", "size")).alias("at"))
     classes = materialize(classes.select("anchor", "name", "weight", "at.*"))
     # anchors with many different segments go to several shards; -1 stands for one shard
     large = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split)
@@ -218,8 +227,10 @@ def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block
         often = named.groupBy("window").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("shards")).filter("shards > 1").select("window")
         runs = runs.union(named.join(often, "window", "left_semi").select("anchor", "name", "begin", "end"))
     spans = materialize(runs.groupBy("anchor", "name").agg(F.collect_list(F.struct("begin", "end")).alias("runs")))
-    hit = places.join(spans, ["anchor", "name"]).select("key", "start", F.explode("runs").alias("r"))
-    return hit.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("r.begin")).alias("begin"), (F.col("start") + F.col("r.end") - 1 + length).alias("end"))).alias("spans"))
+    hit = places.filter("not alike").join(spans, ["anchor", "name"]).select("key", "start", F.explode("runs").alias("r"))
+    hit = hit.select("key", (F.col("start") + F.col("r.begin")).alias("begin"), (F.col("start") + F.col("r.end") - 1 + length).alias("end"))
+    whole = places.filter("alike").select("key", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
+    return hit.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
@@ -247,7 +258,7 @@ def dedupe(docs: DataFrame, length: int = 200, with_text: bool = False, id_col:
     spans = repeated_spans(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")), length).toDF("__span_key", "__spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "__text")):
             texts, n = _bytes(batch, batch.num_columns - 2), batch.num_columns - 2
             cols = [[], [], [], [], []]
             for text, found in zip(texts, batch.column(n + 1).to_pylist(), strict=True):

@@ -7,6 +7,7 @@ import math
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -503,6 +504,43 @@ def test_repeated_strings(documents, edges, empty, split, monkeypatch):
     assert suffixdedup.dedupe(empty).count() == 0
 
 
+def test_anchors_take_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 2000, dtype=np.uint8)) for _ in range(2000)]
+    tracemalloc.start()
+    found = suffixdedup.Anchors(200).segments(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) and most < 150_000_000
+
+
+def test_anchors_of_long_texts():
+    """A text of several pieces has all its windows once, under the anchors of a text in one piece."""
+    rng = np.random.default_rng(6)
+    text = bytes(rng.integers(97, 101, 3 * suffixdedup.PIECE + 777, dtype=np.uint8))
+    _, start, size, anchor, _ = suffixdedup.Anchors(200).segments([text])
+    assert start[0] == 0 and (start[1:] == start[:-1] + size[:-1] - 199).all() and start[-1] + size[-1] == len(text)
+    middle = suffixdedup.PIECE - 1000
+    _, part, length, other, _ = suffixdedup.Anchors(200).segments([text[middle : middle + 2000]])
+    whole = lambda at, n, names, low: {w: int(a) for s, m, a in zip(at, n, names, strict=True) for w in range(low + s, low + s + m - 199)}
+    everywhere = whole(start.tolist(), size.tolist(), anchor, 0)
+    assert all(everywhere[w] == a for w, a in whole(part.tolist(), length.tolist(), other, middle).items())
+
+
+def test_equal_segments_need_no_suffix_array(spark, monkeypatch):
+    """Copies of whole texts are found without a shard; texts that share a part meet in one."""
+    rng = np.random.default_rng(8)
+    a, b, c, d = (bytes(rng.integers(97, 123, 3000, dtype=np.uint8)).decode() for _ in range(4))
+    dealt, cut = [], suffixdedup._cut
+    monkeypatch.setattr(suffixdedup, "_cut", lambda rows: dealt.append(rows.count()) or cut(rows))
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for texts in ([a, a, b, b, b, c], [a, b[:1000] + a[500:1500] + b[2000:], c, c, d]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        want = [(i, *r) for i, r in enumerate(helpers.repeated(texts))]
+        assert rows_of(suffixdedup.dedupe(docs), *cols) == sorted(want, key=repr)
+    assert dealt[0] == 0 and dealt[1] > 0
+
+
 def test_repeated_strings_under_one_id(spark):
     """Different texts under one id, or without id, lose only strings of their own that repeat."""
     rng = np.random.default_rng(12)
