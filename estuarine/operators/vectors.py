@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from estuarine.functions.sequences import kmers
+from estuarine.functions.sequences import kmer_windows, kmers
 from estuarine.functions.vectors import l2, normalize
 from estuarine.operators.blocks import Bounds, chunk_rows, distances, grid_apply, matrix, pair_distances
 from estuarine.operators.ordered import top_per_group
@@ -349,20 +351,27 @@ def cluster_coherence(vectors: DataFrame, cluster: str = "cluster", key: str = "
 
 
 def embed_kmers(reads: DataFrame, k: int = 4, dims: int = 64, key: str = "sequence_id") -> DataFrame:
-    """Hashed k-mer frequency vectors of unit length."""
-    slots = F.transform(kmers(F.col("seq"), k), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = (
-        reads.select(key, F.explode(slots).alias("slot")).groupBy(key, "slot").agg(F.count(F.lit(1)).alias("n"))
-    )
-    # at most `dims` entries per read
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")
-    )
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return reads.select(key).join(maps, key, "left").select(
-        key, normalize(F.when(F.col("m").isNotNull(), dense).otherwise(zero)).alias("embedding")
-    )
+    """Hashed k-mer frequency vectors of unit length, one per row; counted inside the row, so nothing is shuffled."""
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int")
+    slots = F.flatten(F.transform(kmer_windows(F.col("seq"), k), lambda part: F.transform(kmers(part, k), slot)))
+    kind = reads.schema[key].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            found = column.flatten().to_numpy(zero_copy_only=False)  # without the slots of nulls
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            step = max(1, 2**22 // dims)
+            for start in range(0, batch.num_rows, step):
+                n = min(step, batch.num_rows - start)
+                row = np.repeat(np.arange(n), sizes[start : start + n])
+                counts = np.bincount(row * dims + found[ends[start] : ends[start + n]], minlength=n * dims).astype(np.float64)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dims, dims, dtype=np.int32)), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), vectors], names=[key, "counts"])
+
+    counted = reads.select(key, slots.alias("slots")).mapInArrow(count, f"`{key}` {kind}, counts array<double>")
+    return counted.select(key, normalize(F.col("counts")).alias("embedding"))
 
 
 def embed_reads(reads: DataFrame, embedder, dims: int, key: str = "sequence_id") -> DataFrame:
