@@ -9,8 +9,8 @@ segments are folded into a weighted one and dealt to shards by anchor.
 
 Each shard is one text, its segments between separators that no UTF-8 text contains. Its suffix array
 is built by induced sorting; where neighbours have common prefixes of `length` or more, windows are
-equal. An anchor with more segments than `split` is dealt to several shards; its windows are then
-also compared between shards, by 128-bit names.
+equal. Segments of an anchor with more than `split` of them are cut and dealt by the second smallest hash of their windows; where that is
+as common, they are dealt to several shards and their windows also compared between shards, by 128-bit names.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ class Anchors:
             x[0] = 1
             np.multiply.accumulate(x, out=x)
 
-    def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, start, bytes, anchor, name) of all segments of some texts."""
+    def segments(self, texts: list[bytes], second: bool = False) -> tuple[np.ndarray, ...]:
+        """(text, start, bytes, anchor, name) of all segments of some texts; with `second` of segments, by the smallest hash but their anchor's."""
         found, held, size = [], [], 0
         for i, t in enumerate(texts):
             if len(t) < self.length:
@@ -57,34 +57,42 @@ class Anchors:
             for a in range(0, len(t) - self.length + 1, PIECE):  # windows that start in a..a+PIECE
                 part = t[a : a + PIECE + self.length - 1]
                 if size + len(part) > 2 * PIECE:
-                    found.append(self._block(held))
+                    found.append(self._block(held, second))
                     held, size = [], 0
                 held.append((i, a, part))
                 size += len(part)
         if held:
-            found.append(self._block(held))
+            found.append(self._block(held, second))
         if not found:
             return (*(np.zeros(0, np.int64) for _ in range(5)),)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _block(self, parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
-        lengths = np.array([len(p) for _, _, p in parts])
-        text = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
-        n, width = len(text), self.length - GRAM + 1
-        total = np.concatenate([np.zeros(1, U), np.cumsum(self.letters[text] * self.power[:n], dtype=U)])
-        grams = mix((total[GRAM:] - total[: n - GRAM + 1]) * self.back[: n - GRAM + 1])
-        # hash above, place below: the minimum is the leftmost of the smallest
-        keys = (grams & ~PLACE) | np.arange(len(grams), dtype=U)
+    def _smallest(self, keys: np.ndarray, windows: int) -> np.ndarray:
+        """Place of each window's smallest key."""
+        width = self.length - GRAM + 1
         full = -(-len(keys) // width) * width
         grid = np.full(full + width, np.iinfo(np.uint64).max, U)
         grid[: len(keys)] = keys
         grid = grid.reshape(-1, width)
         ahead = np.minimum.accumulate(grid, 1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        windows = n - self.length + 1
         best = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-        anchor = (best & PLACE).astype(np.int64)
+        return (best & PLACE).astype(np.int64)
+
+    def _block(self, parts: list[tuple[int, int, bytes]], second: bool = False) -> tuple[np.ndarray, ...]:
+        lengths = np.array([len(p) for _, _, p in parts])
+        text = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
+        n = len(text)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(self.letters[text] * self.power[:n], dtype=U)])
+        grams = mix((total[GRAM:] - total[: n - GRAM + 1]) * self.back[: n - GRAM + 1])
+        # hash above, place below: the minimum is the leftmost of the smallest
+        keys = (grams & ~PLACE) | np.arange(len(grams), dtype=U)
+        windows = n - self.length + 1
+        anchor = self._smallest(keys, windows)
         bounds = starts(lengths)
+        if second:
+            keys[anchor[bounds[:-1]]] = np.iinfo(np.uint64).max
+            anchor = self._smallest(keys, windows)
         inside = np.zeros(windows, np.int64)  # windows don't run over the end of their text
         fit = np.maximum(lengths - self.length + 1, 0)
         inside[ranges(bounds[:-1], fit)] = np.repeat(np.arange(1, len(parts) + 1), fit)
@@ -144,13 +152,35 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, name long, weight long, salt long, bytes binary")
 
 
+def _refine(segments: DataFrame, length: int) -> DataFrame:
+    """Segments cut where the second smallest hash of their windows changes, which is their `salt` then.
+
+    Equal windows of one anchor have equal second hashes, too.
+    """
+
+    def run(batches):
+        finder = Anchors(length)
+        for batch in (part for b in batches for part in slices(b, "bytes")):
+            texts = _bytes(batch, batch.schema.get_field_index("bytes"))
+            which, start, size, second, _ = finder.segments(texts, True)
+            keys = [batch.column(c).take(pa.array(which)) for c in ("anchor", "name", "weight")]
+            parts = [texts[i][a : a + n] for i, a, n in zip(which.tolist(), start.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(second, pa.int64()), pa.array(parts, pa.binary()), pa.array(start, pa.int64())], names=["anchor", "name", "weight", "salt", "bytes", "offset"])
+
+    return segments.mapInArrow(run, "anchor long, name long, weight long, salt long, bytes binary, offset long")
+
+
 def _compare(segments: DataFrame, length: int, block: int) -> DataFrame:
-    """Windows that repeat within a shard, as (anchor, name, begin, end) of window starts.
+    """Segments with the windows that repeat within their shard, as `runs` of window starts, one row for each segment that has any.
 
-    For anchors dealt to several shards there is also a row per distinct window: its `window` name
-    and weight, and its first place.
+    Where `named` segments are dealt to several shards, `heads` has each distinct window in the segment where it
+    stands first: its place, name and number.
     """
 
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+    head = pa.struct([("begin", pa.int64()), ("window", pa.binary()), ("total", pa.int64())])
+    kinds = (pa.int64(), pa.int64(), pa.list_(span), pa.list_(head))
+
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[4]) for r in rows])
         text = np.frombuffer(bytes([GAP]).join(r[4] for r in rows) + bytes([GAP]), np.uint8)
@@ -170,19 +200,22 @@ def _compare(segments: DataFrame, length: int, block: int) -> DataFrame:
         repeated[order] = total[group] > 1
         edge = np.diff(np.concatenate([[False], repeated & inside, [False]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        runs: dict[int, list[dict]] = {}
         row = of[begin]
-        out = [(rows[i][0], rows[i][1], a, b, None, None) for i, a, b in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True)]
-        heads = np.flatnonzero(np.diff(group, prepend=-1)) if any(r[3] >= 0 for r in rows) else ()
+        for i, a, b in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True):
+            runs.setdefault(i, []).append({"begin": a + rows[i][5], "end": b + rows[i][5]})
+        windows: dict[int, list[dict]] = {}
+        heads = np.flatnonzero(np.diff(group, prepend=-1)) if any(r[6] for r in rows) else ()
         data = text.tobytes() if len(heads) else b""
         for h in heads:
             p = int(order[h])
             i = int(of[p])
-            if rows[i][3] >= 0:
+            if rows[i][6]:
                 name = hashlib.blake2b(data[p : p + length], digest_size=16).digest()
-                out.append((rows[i][0], rows[i][1], p - int(at[i]), p - int(at[i]) + 1, name, int(total[group[h]])))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "name", "begin", "end", "window", "total"])
+                windows.setdefault(i, []).append({"begin": p - int(at[i]) + rows[i][5], "window": name, "total": int(total[group[h]])})
+        out = [(rows[i][0], rows[i][1], runs.get(i), windows.get(i)) for i in sorted(runs.keys() | windows.keys())]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "name", "runs", "heads"])
 
     def run(batches):
         rows: list[tuple] = []
@@ -198,7 +231,7 @@ def _compare(segments: DataFrame, length: int, block: int) -> DataFrame:
             yield shard(rows)
 
     dealt = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    return dealt.select("anchor", "name", "weight", "salt", "bytes").mapInArrow(run, "anchor long, name long, begin long, end long, window binary, total long")
+    return dealt.select("anchor", "name", "weight", "salt", "bytes", "offset", "named").mapInArrow(run, "anchor long, name long, runs array<struct<begin: long, end: long>>, heads array<struct<begin: long, window: binary, total: long>>")
 
 
 def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block: int = 1 << 20) -> DataFrame:
@@ -212,21 +245,31 @@ def repeated_spans(texts: DataFrame, length: int = 200, split: int = 4096, block
     places = materialize(_occurrences(texts, length, False).join(shared, "anchor"))
     classes = places.filter("not alike").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "start", "size")).alias("at"))
     classes = materialize(classes.select("anchor", "name", "weight", "at.*"))
-    # anchors with many different segments go to several shards; -1 stands for one shard
-    large = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split)
-    salt = F.when(F.col("n").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod("name", F.ceil(F.col("n") / split)))
-    chosen = classes.join(large, "anchor", "left").select("key", F.struct("start", "size", "anchor", "name", "weight", salt.alias("salt")).alias("part"))
+    # anchors with many different segments have 0 for salt, the others -1
+    large = materialize(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split).select("anchor", F.lit(0).cast("long").alias("big")))
+    salt = F.coalesce("big", F.lit(-1).cast("long")).alias("salt")
+    chosen = classes.join(large, "anchor", "left").select("key", F.struct("start", "size", "anchor", "name", "weight", salt).alias("part"))
     asked = chosen.groupBy("key").agg(F.collect_list("part").alias("parts"))  # at most one text's segments
-    segments = _cut(texts.join(asked, "key").select("text", "parts"))
+    segments = _cut(texts.join(asked, "key").select("text", "parts")).withColumns({"offset": F.lit(0).cast("long"), "named": F.lit(False)})
+    if not large.isEmpty():
+        # equal windows of these share a second hash, so they are dealt by it; one that is still too common goes to several shards
+        segments = materialize(segments)
+        fine = segments.filter("salt >= 0")
+        fine = materialize(_refine(fine, length) if length > GRAM else fine.drop("named"))
+        counts = fine.groupBy("anchor", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).filter("total > 1")
+        named, shard = F.col("n") > split, F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / split))
+        dealt = F.when(named, F.xxhash64("salt", shard)).otherwise(F.col("salt"))
+        fine = fine.join(counts, ["anchor", "salt"]).withColumns({"salt": dealt, "named": named}).select(segments.columns)
+        segments = segments.filter("salt < 0").unionByName(fine)
     found = materialize(_compare(segments, length, block))
 
-    runs = found.filter("window is null").select("anchor", "name", "begin", "end")
-    named = found.filter("window is not null")
+    spans = found.filter("runs is not null").select("anchor", "name", "runs")
+    named = found.filter("heads is not null").select("anchor", "name", F.inline("heads"))
     if not named.isEmpty():
         # windows of one shard are one row by now; those that other shards have too
         often = named.groupBy("window").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("shards")).filter("shards > 1").select("window")
-        runs = runs.union(named.join(often, "window", "left_semi").select("anchor", "name", "begin", "end"))
-    spans = materialize(runs.groupBy("anchor", "name").agg(F.collect_list(F.struct("begin", "end")).alias("runs")))
+        more = named.join(often, "window", "left_semi").groupBy("anchor", "name").agg(F.collect_list(F.struct("begin", (F.col("begin") + 1).alias("end"))).alias("runs"))
+        spans = materialize(spans.unionByName(more))
     hit = places.filter("not alike").join(spans, ["anchor", "name"]).select("key", "start", F.explode("runs").alias("r"))
     hit = hit.select("key", (F.col("start") + F.col("r.begin")).alias("begin"), (F.col("start") + F.col("r.end") - 1 + length).alias("end"))
     whole = places.filter("alike").select("key", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))

@@ -541,6 +541,28 @@ def test_equal_segments_need_no_suffix_array(spark, monkeypatch):
     assert dealt[0] == 0 and dealt[1] > 0
 
 
+def test_windows_of_a_common_anchor_are_not_listed(spark, monkeypatch):
+    """Texts with a common phrase in different surroundings are dealt by a second hash, not compared by lists of their windows."""
+    rng = np.random.default_rng(9)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    phrase, some = word(150), [word(300) for _ in range(6)]
+    texts = [word(300) + phrase + word(300) for _ in range(60)] + [some[i % 6][: 200 + i] + phrase + some[i % 5] for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans, compare, sizes = suffixdedup.repeated_spans, suffixdedup._compare, []
+
+    def counted(segments, length, block):
+        found = compare(segments, length, block)
+        sizes.append((found.count(), segments.count()))
+        return found
+
+    monkeypatch.setattr(suffixdedup, "repeated_spans", lambda t, n: spans(t, n, split=4))
+    monkeypatch.setattr(suffixdedup, "_compare", counted)
+    want = [(i, *r) for i, r in enumerate(helpers.repeated(texts))]
+    assert rows_of(suffixdedup.dedupe(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    made, given = sizes[0]
+    assert 0 < made <= given < 60 * len(texts)
+
+
 def test_repeated_strings_under_one_id(spark):
     """Different texts under one id, or without id, lose only strings of their own that repeat."""
     rng = np.random.default_rng(12)
