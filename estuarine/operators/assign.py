@@ -14,6 +14,7 @@ from estuarine.functions.mathx import first_match, ratio
 from estuarine.operators.ordered import top_per_group
 from estuarine.operators.ranks import RANKS
 from estuarine.operators.vectors import as_doubles, knn_join
+from estuarine.session import materialize
 
 # Vote, consensus and alignment settings.
 MIN_SIMILARITY, MARGIN, OTHER_AGREEMENT = 0.65, 0.07, 0.6
@@ -36,6 +37,7 @@ def knn_lca(
     """
     agreement = MIN_AGREEMENT | (min_agreement or {})
     ranks = [r for r in reversed(RANKS) if r in labels.columns]
+    neighbours = materialize(neighbours)  # read twice; a search would be made twice
     sims = neighbours.groupBy("query_id").agg(
         F.avg("value").alias("knn_mean_similarity"), F.max("value").alias("knn_top_similarity")
     )
@@ -74,7 +76,7 @@ def cluster_consensus(assign: DataFrame, clusters: DataFrame, threshold: float =
     Per cluster the most specific rank with a clear majority counts; shares are of the
     whole cluster. Noise is left alone.
     """
-    rows = assign.join(clusters, "sequence_id", "left")
+    rows = materialize(assign.join(clusters, "sequence_id", "left"))  # read three times
     inside = rows.filter(F.col("cluster").isNotNull() & (F.col("cluster") != -1))
     sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     counts = (

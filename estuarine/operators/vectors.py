@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from estuarine.functions.sequences import kmer_windows, kmers
 from estuarine.functions.vectors import l2, normalize
-from estuarine.operators.blocks import Bounds, chunk_rows, distances, grid_apply, matrix, pair_distances
+from estuarine.operators.blocks import CHUNK, Bounds, chunk_rows, distances, grid_apply, matrix, pair_distances
 from estuarine.operators.ordered import top_per_group
 from estuarine.session import materialize
 
@@ -203,14 +203,17 @@ def knn_join(
             return np.partition(d[:, cells] + steps[None, :], k - 1, axis=1)[:, k - 1]
 
         q, r = probe_cells(q, pivots, radius, reach), placed.drop("pivot_distance")
-    return _grid_knn(q, r, k, metric, exclude_run is not None, pivots.shape[1] if len(pivots) else 1)
+    dims = pivots.shape[1] if len(pivots) else 1
+    # a few pairs of chunks for every core, or tables of middle size are compared by a handful of tasks
+    even = math.ceil(rows / (2 * math.sqrt(q.sparkSession.sparkContext.defaultParallelism)))
+    return _grid_knn(q, r, k, metric, exclude_run is not None, min(chunk_rows(dims), max(CHUNK, even)))
 
 
-def _grid_knn(q: DataFrame, r: DataFrame, k: int, metric: str, exclude: bool = False, dims: int = 1) -> DataFrame:
+def _grid_knn(q: DataFrame, r: DataFrame, k: int, metric: str, exclude: bool = False, size: int = CHUNK) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in q.schema}
     ref_kind = r.schema["ref_id"].dataType.simpleString()
     schema = f"query_id {kinds['query_id']}, ref_id {ref_kind}, value double"
-    found = grid_apply(q, r, "cell", "query_id", "ref_id", _kernel(k, metric, exclude), schema, chunk_rows(dims))
+    found = grid_apply(q, r, "cell", "query_id", "ref_id", _kernel(k, metric, exclude), schema, size)
     order = [F.desc("value") if metric == "ip" else F.asc("value"), F.asc("ref_id")]
     return top_per_group(found, ["query_id"], order, k, "rank")
 
@@ -246,7 +249,7 @@ def ann_search(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int
         n = min(nprobe, len(centres))
         q = probe_cells(q, centres, radius, lambda d: np.partition(d, n - 1, axis=1)[:, n - 1])
     first = index.select("vec").head()
-    return _grid_knn(q, index, k, "l2", dims=len(first.vec) if first else 1)
+    return _grid_knn(q, index, k, "l2", size=chunk_rows(len(first.vec) if first else 1))
 
 
 def ann_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
