@@ -1,9 +1,8 @@
 """Hierarchical density clustering (HDBSCAN): spanning tree, condensed tree, stable clusters.
 
-The tree of mutual reachability distances comes from block pairs: an edge that is not in the spanning forest of a block
-pair is the longest edge of a cycle and so not in the tree. Pairs of cells are met only where an edge
-can be shorter than the detour over their pivots. The forests' edges are contracted to the tree in
-Boruvka rounds.
+The tree of mutual reachability distances grows in Boruvka rounds over the edges of neighbour lists. A list tells
+how short an edge that is not in it can be at best, so most groups know that their shortest edge out is a listed one. The rows
+that may have a shorter one look for it in the cells that can hold it, exactly; a row gives one edge, no pairs are written.
 
 Only merges of two groups of `min_cluster_size` rows or more shape the condensed tree. They are found
 without a dendrogram: two groups below that size are merged along an edge that is the shortest way out for both,
@@ -20,22 +19,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estuarine.operators.blocks import CHUNK, distances, grid_apply, matrix
+from estuarine.operators.blocks import CHUNK, Bounds, chunk_rows, distances, grid_apply, matrix, pair_distances
 from estuarine.operators.ordered import ranked
-from estuarine.operators.vectors import TIE_DIGITS, _cell_radius, as_doubles, assign_cells, choose_pivots, knn_join
+from estuarine.operators.vectors import TIE_DIGITS, _cell_radius, as_doubles, assign_cells, knn_join
 from estuarine.session import materialize
 
-#: A tree of n rows has sqrt(n / PIVOT_ROWS) pivots; its blocks are small, since they are held whole.
+#: A tree of n rows has sqrt(n / PIVOT_ROWS) pivots.
 PIVOT_ROWS = 256
 #: Distances below this count as this, so that equal rows have a finite density.
 LEAST = 1e-9
 
 
-def core_distances(points: DataFrame, min_samples: int) -> DataFrame:
-    """(id, core): the distance within which a row has `min_samples` others; `points` has (id, vec, weight)."""
+def neighbour_lists(points: DataFrame, length: int) -> DataFrame:
+    """(query_id, ref_id, value, rank): the `length` nearest rows of each row, itself included; `points` has (id, vec)."""
     rows = points.select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding"))
-    near = knn_join(rows, rows, min_samples + 1, "l2")
-    near = near.join(points.select(F.col("id").alias("ref_id"), "weight"), "ref_id")
+    return knn_join(rows, rows, length, "l2")
+
+
+def core_distances(points: DataFrame, near: DataFrame, min_samples: int) -> DataFrame:
+    """(id, core): the distance within which a row has `min_samples` others; `points` has (id, vec, weight), `near` lists longer than that."""
+    near = near.filter(F.col("rank") <= min_samples + 1).join(points.select(F.col("id").alias("ref_id"), "weight"), "ref_id")
     listed = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "weight"))).alias("near"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("core"))
 
@@ -46,64 +49,54 @@ def core_distances(points: DataFrame, min_samples: int) -> DataFrame:
     return listed.select(F.col("query_id").alias("id"), F.aggregate("near", start, step)["core"].alias("core"))
 
 
-def _forest(a_ids: np.ndarray, b_ids: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weight, smaller id, larger id): the spanning forest of the edges between two sorted lists of ids."""
-    ids = np.unique(np.concatenate([a_ids, b_ids]))
-    ia, ib = np.searchsorted(ids, a_ids), np.searchsorted(ids, b_ids)
-    label = np.arange(len(ids))
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    w = np.where(ia[:, None] == ib[None, :], np.inf, w)
-    while True:
-        row, col = w.argmin(1), w.argmin(0)
-        every = [(label[ia], ia, ib[row], w[np.arange(len(ia)), row]), (label[ib], ia[col], ib, w[col, np.arange(len(ib))])]
-        group, x, y, d = (np.concatenate(c) for c in zip(*every, strict=True))
-        fine = np.isfinite(d)
-        if not fine.any():
-            break
-        group, d, lo, hi = group[fine], d[fine], np.minimum(x, y)[fine], np.maximum(x, y)[fine]
-        order = np.lexsort((hi, lo, d, group))
-        first = order[np.flatnonzero(np.diff(group[order], prepend=-1))]
-        edges = np.unique(np.stack([lo[first], hi[first]]), axis=1, return_index=True)
-        pick = first[edges[1]]
-        kept.append((d[pick], ids[lo[pick]], ids[hi[pick]]))
-        for p, q in zip(label[lo[pick]].tolist(), label[hi[pick]].tolist(), strict=True):
-            while label[p] != p:
-                p = label[p]
-            while label[q] != q:
-                q = label[q]
-            label[max(p, q)] = min(p, q)
-        while (label[label] != label).any():
-            label = label[label]
-        w[label[ia][:, None] == label[ib][None, :]] = np.inf
-    if not kept:
-        return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*kept, strict=True))
-
-
-def _pair_forest(alpha: float):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("id"), right.sort_values("id")
-        d = np.concatenate([x for _, x in distances(matrix(left["vec"]), matrix(right["vec"]))]) / alpha
-        d = np.maximum(np.maximum(d, left["core"].to_numpy()[:, None]), right["core"].to_numpy()[None, :])
-        w, a, b = _forest(left["id"].to_numpy(), right["id"].to_numpy(), np.round(d, TIE_DIGITS))
-        return pd.DataFrame({"w": w, "a": a, "b": b})
+def _way_out(alpha: float, elements: int = 2**21):
+    """Kernel: each left row's shortest edge, of `reach` or less, to the right rows of other groups, ties by ids.
 
-    return kernel
+    Bounds in single precision leave a few candidates, whose distances are taken exactly.
+    """
 
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = matrix(left["vec"]), matrix(right["vec"])
+        ids, refs = left["id"].to_numpy(), right["id"].to_numpy()
+        own, other = left["c"].to_numpy(), right["c"].to_numpy()
+        core, cores, reach = left["core"].to_numpy(), right["core"].to_numpy(), left["reach"].to_numpy()
+        bounds = Bounds(a, b, "l2")
+        floor = (alpha * cores) ** 2 * (1 - 1e-6)
+
+        def weight(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.empty(len(i))
+            for part in range(0, len(i), elements // 16):
+                x, y = i[part : part + elements // 16], j[part : part + elements // 16]
+                d = np.round(pair_distances(a, b, x, y), TIE_DIGITS) / alpha
+                out[part : part + elements // 16] = np.round(np.maximum(np.maximum(d, core[x]), cores[y]), TIE_DIGITS)
+            return out
+
+        step, kept = max(1, elements // len(b)), []
+        for start in range(0, len(a), step):
+            rows = slice(start, min(start + step, len(a)))
+            square = bounds.na[rows] ** 2
+            low = bounds.lower(rows)
+            if low.dtype == np.float64:  # values that are not finite are settled by differences
+                low[np.isnan(low)] = -np.inf
+            low = np.maximum(low, (floor[None] - square[:, None]).astype(low.dtype))
+            low[own[rows, None] == other[None]] = np.inf
+            best = low.argmin(1)
+            place = np.arange(len(best))
+            least = np.where(low[place, best] < np.inf, weight(start + place, best), np.inf)
+            least = np.where(np.isfinite(least), np.minimum(least, reach[rows]), reach[rows])
+            # distances that are equal when rounded may lie farther by one unit
+            limit = bounds.limit((alpha * least) ** 2 - square, rows, 2 * alpha * 10.0**-TIE_DIGITS)
+            i, j = np.divmod(np.flatnonzero((low <= limit[:, None]) & (low < np.inf)), len(b))
+            w = weight(start + i, j)
+            fine = np.isfinite(w) & (w <= reach[start + i])
+            i, j, w = start + i[fine], j[fine], w[fine]
+            lo, hi = np.minimum(ids[i], refs[j]), np.maximum(ids[i], refs[j])
+            order = np.lexsort((hi, lo, w, i))
+            first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+            kept.append(pd.DataFrame({"id": ids[i[first]], "w": w[first], "a": lo[first], "b": hi[first]}))
+        return pd.concat(kept, ignore_index=True)
 
-def _detours(pivots: np.ndarray, core: np.ndarray, alpha: float) -> np.ndarray:
-    """Longest step of the best way between any two pivots."""
-    d = np.maximum(np.maximum(np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(2)) / alpha, core[:, None]), core[None])
-    out = np.zeros_like(d)
-    inside, best, via = [0], d[0].copy(), np.zeros(len(d), int)
-    while len(inside) < len(d):
-        best[inside] = np.inf
-        new = int(best.argmin())
-        out[new, inside] = out[inside, new] = np.maximum(out[via[new], inside], best[new])
-        via = np.where(d[new] < best, new, via)
-        best = np.minimum(best, d[new])
-        inside.append(new)
-    return out
+    return kernel
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -122,22 +115,59 @@ def _roots(parents: DataFrame) -> DataFrame:
             return parents
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(w, a, b): the minimum spanning forest of an edge table, ties by (a, b); Boruvka rounds as joins."""
+def spanning_forest(edges: DataFrame, bounds: DataFrame, search=None) -> DataFrame:
+    """(w, a, b): the minimum spanning forest, ties by (a, b), of an edge table and of the edges that `search` finds.
+
+    `bounds` has (id, bound): an edge of a row that is not in `edges` is not below its bound. A group whose shortest edge is
+    below the bounds of all its rows merges along it. Once these are less than half of the groups, `search(open)`
+    gives every row of `open` (id, c, bound, reach), that is those with a bound within the shortest edge `reach` of their group c,
+    the shortest edge to another group, (id, w, a, b), and each group the `reach` that was searched, (c, reach). The group with most such rows
+    is left out; so every round halves the groups.
+    """
+    key, none = F.struct("w", "a", "b"), F.lit(float("inf"))
     rest = materialize(edges.select("w", "a", "b").distinct().select("w", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    state = materialize(bounds.select("id", F.col("id").alias("c"), "bound"))
     chosen: list[DataFrame] = []
-    while not rest.isEmpty():
-        key = F.struct("w", "a", "b")
+
+    def picks(groups: DataFrame) -> DataFrame:
+        """The groups with their shortest edges, if they have any."""
         ends = rest.select(F.col("ca").alias("c"), F.struct(key.alias("k"), F.col("cb").alias("o")).alias("e"))
         ends = ends.unionByName(rest.select(F.col("cb").alias("c"), F.struct(key.alias("k"), F.col("ca").alias("o")).alias("e")))
-        pick = materialize(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.o", "e.k.*"))
+        best = ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.o", "e.k.*")
+        return groups.join(best, "c", "left").withColumn("sure", F.coalesce(F.col("w") < F.col("bound"), F.lit(False)))
+
+    while True:
+        groups = materialize(state.groupBy("c").agg(F.min("bound").alias("bound")))
+        total = groups.count()
+        if total <= 1:
+            break
+        pick = materialize(picks(groups))
+        if search and 2 * pick.filter("sure").count() < total - 1:
+            reach = pick.filter("not sure").select("c", F.coalesce("w", none).alias("reach"))
+            open_ = state.join(reach, "c").filter("bound <= reach")
+            most = open_.groupBy("c").count().orderBy(F.desc("count"), "c").first()
+            found, searched = search(materialize(open_.filter(F.col("c") != most["c"])), state)
+            at = state.select(F.col("id"), F.col("c").alias("to"))
+            fresh = found.select("w", "a", "b").distinct()
+            for side in "ab":
+                fresh = fresh.join(at.select(F.col("id").alias(side), F.col("to").alias(f"c{side}")), side)
+            rest = materialize(rest.unionByName(fresh.select(*rest.columns)))
+            # edges of a searched row that are still unknown are not below the one found, or the reach
+            state = state.join(searched, "c", "left").join(found.select("id", F.col("w").alias("found")), "id", "left")
+            state = materialize(state.select("id", "c", F.greatest("bound", F.when(F.col("reach").isNotNull(), F.coalesce("found", "reach"))).alias("bound")))
+            pick = picks(groups).join(searched, "c", "left").withColumn("sure", F.col("w").isNotNull() & (F.col("sure") | F.col("reach").isNotNull()))
+            pick = materialize(pick.drop("reach"))
+        pick = pick.filter("sure" if search else "w is not null")
+        if pick.isEmpty():  # what is left cannot be joined by a finite edge
+            break
         chosen.append(pick.select("w", "a", "b").distinct())
         other = pick.select(F.col("c").alias("o"), F.col("o").alias("back"))
         # of two groups that chose each other the smaller is the root
-        up = pick.join(other, "o").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("up"))
-        up = _roots(up)
+        mutual = F.coalesce(F.col("back") == F.col("c"), F.lit(False)) & (F.col("c") < F.col("o"))
+        up = _roots(pick.select("c", "o").join(other, "o", "left").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("up")))
+        state = materialize(state.join(up, "c", "left").select("id", F.coalesce("up", "c").alias("c"), "bound"))
         for side in ("ca", "cb"):
-            rest = rest.join(up.select(F.col("c").alias(side), F.col("up").alias("to")), side).drop(side).withColumnRenamed("to", side)
+            rest = rest.join(up.select(F.col("c").alias(side), "up"), side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
         rest = rest.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(key).alias("k"))
         rest = materialize(rest.select("k.*", "ca", "cb"))
     out = edges.select("w", "a", "b").limit(0)
@@ -152,41 +182,78 @@ def folded(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return rows, materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
 
 
-def reachability_tree(points: DataFrame, min_samples: int, alpha: float = 1.0, size: int = CHUNK, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """((id, weight, core), (w, a, b)): the spanning tree of mutual reachability distances of `folded` points."""
-    cores = core_distances(points, min_samples)
-    chosen = choose_pivots(points, 0, pivots or max(1, math.ceil(math.sqrt(points.count() / PIVOT_ROWS))))
+def reachability_tree(
+    points: DataFrame, min_samples: int, alpha: float = 1.0, size: int | None = None, pivots: int | None = None, length: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """((id, weight, core), (w, a, b)): the spanning tree of mutual reachability distances of `folded` points.
+
+    It starts from lists of `length` neighbours; `size` is the number of rows in a chunk of the searches behind them.
+    """
+    length = max(length or 3 * min_samples + 1, min_samples + 1)
+    near = materialize(neighbour_lists(points, length))
+    cores = core_distances(points, near, min_samples)
+    wanted = pivots or max(1, math.ceil(math.sqrt(points.count() / PIVOT_ROWS)))
+    picked = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("id", "vec").collect()
+    chosen = np.array([r.vec for r in picked], dtype=np.float64)
     placed = materialize(assign_cells(points.join(cores, "id"), chosen))
+    rows = placed.count()
     radius = _cell_radius(placed, len(chosen))
-    far = F.greatest(F.col("pivot_distance") / alpha, "core")
-    most = np.zeros(len(chosen))
-    near = np.zeros(len(chosen))
-    for r in placed.groupBy("cell").agg(F.max(far).alias("m"), F.max(F.when(F.col("pivot_distance") == 0, F.col("core"))).alias("c")).collect():  # one row per pivot
-        most[r.cell], near[r.cell] = r.m, r.c or 0.0
-    detour = _detours(chosen, near, alpha)
-    most = np.maximum(most, near)
-
-    def visit(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            home = pdf["cell"].to_numpy()
-            own = np.maximum(np.maximum(pdf["pivot_distance"].to_numpy() / alpha, pdf["core"].to_numpy()), near[home])
-            for start, d in distances(matrix(pdf["vec"]), chosen):
-                at = slice(start, start + len(d))
-                least = np.maximum((d - radius[None]) / alpha, pdf["core"].to_numpy()[at, None])
-                way = np.maximum(np.maximum(detour[home[at]], own[at, None]), most[None])
-                # each pair of cells meets once
-                hit = (least <= way + 1e-9) & np.isfinite(radius)[None] & (home[at, None] <= np.arange(len(chosen))[None])
-                rows, cells = np.nonzero(hit)
-                yield pdf.iloc[start + rows].assign(cell=cells.astype(np.int32))
-
-    flat = placed.drop("weight")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema)
-    left = flat.mapInPandas(visit, kinds).select("cell", "id", "vec", "core")
-    right = flat.select("cell", "id", "vec", "core")
-    edges = grid_apply(left, right, "cell", "id", "id", _pair_forest(alpha), "w double, a long, b long", size)
-    return placed.select("id", "weight", "core"), materialize(spanning_forest(materialize(edges)))
+    dims = chosen.shape[1] if chosen.ndim > 1 else 1
+    even = math.ceil(rows / (2 * math.sqrt(points.sparkSession.sparkContext.defaultParallelism)))
+    size = size or min(chunk_rows(dims), max(CHUNK, even))
+
+    a, b = (placed.select(F.col("id").alias(x), F.col("core").alias(f"core_{x}")) for x in ("query_id", "ref_id"))
+    listed = near.filter("query_id <> ref_id").join(a, "query_id").join(b, "ref_id")
+    weight = F.round(F.greatest(F.col("value") / alpha, "core_query_id", "core_ref_id"), TIE_DIGITS)
+    edges = listed.select(weight.alias("w"), F.least("query_id", "ref_id").alias("a"), F.greatest("query_id", "ref_id").alias("b"))
+    # a row that is in no full list knows all its edges
+    last = near.filter(F.col("rank") == length).select(F.col("query_id").alias("id"), "value")
+    bound = F.when(F.col("value").isNull(), F.lit(float("inf"))).otherwise(F.round(F.greatest(F.col("value") / alpha, "core"), TIE_DIGITS))
+    bounds = placed.select("id", "core").join(last, "id", "left").select("id", bound.alias("bound"))
+
+    def search(open_: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wanted = {r.id for r in picked}
+        known = {r.id: r for r in state.join(placed.select("id", "core"), "id").filter(F.col("id").isin(list(wanted))).collect()}  # one row per pivot
+        group = np.array([known[r.id].c if r.id in known else -1 for r in picked])
+        core = np.array([known[r.id].core if r.id in known else np.inf for r in picked])
+
+        def hop(batches):
+            """A pivot of another group bounds the way out."""
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                out = np.full(len(pdf), np.inf)
+                own, mine = pdf["c"].to_numpy(), pdf["core"].to_numpy()
+                for start, d in distances(matrix(pdf["vec"]), chosen):
+                    at = slice(start, start + len(d))
+                    way = np.maximum(np.maximum(d / alpha, core[None]), mine[at, None])
+                    out[at] = np.where(own[at, None] == group[None], np.inf, way).min(1) + 10.0**-TIE_DIGITS
+                yield pdf.assign(hop=out)
+
+        def visit(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                own, reach = pdf["core"].to_numpy(), pdf["reach"].to_numpy()
+                for start, d in distances(matrix(pdf["vec"]), chosen):
+                    at = slice(start, start + len(d))
+                    least = np.maximum((d - radius[None]) / alpha, own[at, None])
+                    hit = (least <= reach[at, None] + 1e-9) & np.isfinite(radius)[None]
+                    at, cells = np.nonzero(hit)
+                    yield pdf.iloc[start + at].assign(cell=cells.astype(np.int32))
+
+        kinds = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        asked = open_.join(placed.select("id", "vec", "core"), "id")
+        asked = materialize(asked.mapInPandas(hop, f"{kinds(asked)}, hop double"))
+        searched = materialize(asked.groupBy("c").agg(F.min(F.least("reach", "hop")).alias("reach")))
+        left = asked.drop("reach", "hop").join(searched, "c").filter("bound <= reach").select("id", "vec", "core", "c", "reach")
+        left = left.mapInPandas(visit, f"{kinds(left)}, cell int")
+        right = placed.join(state.select("id", "c"), "id").select("cell", "id", "vec", "core", "c")
+        found = grid_apply(left, right, "cell", "id", "id", _way_out(alpha), "id long, w double, a long, b long", size)
+        return materialize(found.groupBy("id").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("id", "e.*")), searched
+
+    tree = spanning_forest(edges, bounds, search)
+    return placed.select("id", "weight", "core"), materialize(tree)
 
 
 def contract(points: DataFrame, tree: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -364,8 +431,9 @@ def hdbscan(
     cluster_selection_epsilon: float = 0.0,
     allow_single_cluster: bool = False,
     key: str = "vec_id",
-    size: int = CHUNK,
+    size: int | None = None,
     pivots: int | None = None,
+    length: int | None = None,
 ) -> DataFrame:
     """Density clusters of any densities: (key, cluster, probability, outlier_score, persistence).
 
@@ -378,7 +446,7 @@ def hdbscan(
     if points.isEmpty():
         none = F.lit(None).cast("double")
         return rows.select(F.col("id").alias(key), F.lit(-1).alias("cluster"), none.alias("probability"), none.alias("outlier_score"), none.alias("persistence"))
-    weights, tree = reachability_tree(points, min_samples, alpha, size, pivots)
+    weights, tree = reachability_tree(points, min_samples, alpha, size, pivots, length)
     grown, splits = contract(weights, tree, min_cluster_size)
     nodes = materialize(condensed(grown.select("piece").distinct(), splits))
     placed = climb(grown, nodes).withColumn("density", 1 / F.greatest("w", F.lit(LEAST)))

@@ -158,3 +158,43 @@ def test_epsilon(spark):
     assert len(apart) == 3 and max(apart.values()) >= 75
     one = H.hdbscan(frame(spark, x[:40]), 15, 5, allow_single_cluster=True).collect()
     assert {r.cluster for r in one} == {0}
+
+
+def tree_of(spark, x, **options):
+    _, points = H.folded(frame(spark, x), "vec_id")
+    got = H.reachability_tree(points, 5, **options)[1].collect()
+    first, _, _, tree = brute_tree(x, 5)
+    want = {(int(first[a]), int(first[b])): w for w, a, b in tree}
+    assert {(r.a, r.b) for r in got} == set(want)
+    assert [r.w for r in got] == pytest.approx([want[r.a, r.b] for r in got], abs=2e-9)
+
+
+def test_tables_grow_with_rows(spark, monkeypatch):
+    """No stored table has a forest per pair of blocks: small blocks cost no more rows."""
+    x = np.round(blobs(1000), 6)
+    sizes = []
+
+    def counted(df, store=H.materialize):
+        out = store(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "materialize", counted)
+    tree_of(spark, x, size=32, pivots=4)
+    assert max(sizes) <= 20 * len(x)
+
+
+def clumps():
+    """Clumps of more rows than a list has, far apart: their lists do not reach each other."""
+    rng = np.random.default_rng(5)
+    return np.round(np.vstack([rng.normal(size=(30, 3)) + 40 * rng.normal(size=3) for _ in range(9)]), 6)
+
+
+def lattice():
+    """All short distances are equal."""
+    return np.stack(np.meshgrid(*[np.arange(7.0)] * 3), axis=-1).reshape(-1, 3)
+
+
+@pytest.mark.parametrize("rows,pivots", [(clumps, 5), (lattice, 3)])
+def test_tree_beyond_the_lists(spark, rows, pivots):
+    tree_of(spark, rows(), pivots=pivots, size=100, length=7)
