@@ -5,6 +5,7 @@ import itertools
 import html
 import math
 import os
+import random
 import re
 import time
 import tracemalloc
@@ -572,3 +573,24 @@ def test_repeated_strings_under_one_id(spark):
     want = [(i, *x) for (i, _), x in zip(rows, helpers.repeated([t for _, t in rows]), strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(suffixdedup.dedupe(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_line_blocks_without_the_smallest_line(spark, monkeypatch):
+    """A band's smallest line was compared with all others of the band and meets none of them again in blocks."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = []
+    for _ in range(60):
+        head = word(90)
+        texts += [head + word(30), head + word(30)]
+    seen, blocks = [], linededup.block_links
+
+    def counted(members, *args):
+        seen.append(members.groupBy("band").count().agg(F.max("count")).first()[0] or 0)
+        return blocks(members, *args)
+
+    monkeypatch.setattr(linededup, "block_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = linededup.line_components(docs).collect()
+    assert sum(r.kept for r in marks) == len(texts)
+    assert seen == [1]
