@@ -594,3 +594,27 @@ def test_line_blocks_without_the_smallest_line(spark, monkeypatch):
     marks = linededup.line_components(docs).collect()
     assert sum(r.kept for r in marks) == len(texts)
     assert seen == [1]
+
+
+def test_texts_go_only_to_blocks_where_lines_are_compared(spark, monkeypatch):
+    """Lines of a band that have none of like size stay out of the block comparison; those that have are all compared."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head, tail, dealt, write = word(90), word(400), [], linededup.materialize
+
+    def counted(df):
+        out = write(df)
+        if {"i", "j", "sig"} <= set(out.columns):
+            dealt.append({r[0] for r in out.select("name").collect()})
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    alone = [head + word(n) for n in (0, 60, 150, 300, 500, 800, 1200)]
+    families = [head + x + word(4) for x in (tail, tail[:200] + word(1) + tail[201:], word(200), word(200)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(alone + families)), "doc_id long, text string")
+    marks = {r["id"]: r for r in linededup.line_components(docs).collect()}
+    assert len(dealt) == 1 and not dealt[0] & {marks[i]["name"] for i in (0, 1, 5, 6)}
+    sets = [frozenset(x[i : i + 12] for i in range(len(x) - 11)) for x in alone + families]
+    like = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = helpers.roots(range(len(sets)), like)
+    assert len({marks[i]["component"] for i in marks}) == len(set(root.values()))
