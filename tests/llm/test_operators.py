@@ -618,3 +618,13 @@ def test_texts_go_only_to_blocks_where_lines_are_compared(spark, monkeypatch):
     like = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     root = helpers.roots(range(len(sets)), like)
     assert len({marks[i]["component"] for i in marks}) == len(set(root.values()))
+
+
+def test_signature_is_the_smallest_hashes(spark):
+    """The four smallest different hashes, also of lines that repeat themselves or have few; one look at the hashes below a limit does for most."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("abcdefghij klmnop\u00e9\u4e2d", k=rng.randrange(1, 400))) for _ in range(400)]
+    lines += ["a" * n for n in (1, 12, 500)] + ["ab cd " * n for n in (1, 3, 90)] + ["x" * 300 + "".join(rng.choices("abc", k=9))]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    whole = F.slice(linededup.shingle_hashes(F.col("line")), 1, 4)
+    assert rows.filter(linededup.signature(F.col("line"), 4) != whole).count() == 0
